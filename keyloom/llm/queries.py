@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import mixing, tokens
+from keyloom.llm import abuse, mixing, tokens
 from keyloom.session import load
 
 
@@ -27,6 +27,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets")).shares()
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_counts, p7_mix, p7_shares)}
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = abuse.train(abuse.labelled_texts(docs, load(spark, sf_dir, "review_labels")))
+    return abuse.score(docs, model, ("doc_id", "source"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where("score > 0").select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(_scored(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_counts, p7_mix, p7_shares, p8_found, p8_rates)}
 
 ORACLES: dict[str, str] = {}
