@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.abuse_seeds import ABUSIVE, HARMLESS, IDENTITY_TERMS, INSULTS, LEET, LOOKALIKES, MILD, NEUTRAL, PHRASES, SCORNS
 from keyloom.llm.mixing import source_key
+from keyloom.session import materialize
 
 #: Words of a window, and of the short window that keeps a brief passage from drowning in its neighbours.
 WINDOW, SHORT = 10, 5
@@ -321,9 +322,11 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     Several reviews of a document are averaged; ties, null verdicts and reviews of absent or null texts are left out.
     """
     verdicts = labels.where("abusive is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("abusive").alias("mean")).where("mean <> 0.5")
-    chosen = docs.select("doc_id", "text").where((F.length("text") > 0) & (F.length("text") <= LABELLED_CHARS)).join(verdicts, "doc_id")
-    rows = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).collect()
-    return [(r.text, int(r.mean > 0.5)) for r in rows]
+    # ids first: the texts of the chosen alone are read and sent
+    chosen = materialize(verdicts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "abuse-sample")
+    texts = docs.select("doc_id", "text").where((F.length("text") > 0) & (F.length("text") <= LABELLED_CHARS)).join(F.broadcast(chosen), "doc_id")
+    rows = texts.dropDuplicates(["doc_id"]).collect()
+    return [(r.text, int(r.mean > 0.5)) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def _score_batches(model: Model, keep: list[str]):
