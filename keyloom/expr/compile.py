@@ -12,6 +12,7 @@ VARIANT column of tagged JSON, so that missing, NULL-tagged and other-typed valu
 from __future__ import annotations
 
 import json
+import re
 from decimal import Decimal
 
 import pandas as pd
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.errors import ValidationError
-from keyloom.expr.ast import And, BeginsWith, Between, Compare, Contains, Exists, In, Literal, Not, Or, Path, Size, TypeIs, literal, plain
+from keyloom.expr.ast import And, BeginsWith, Between, Compare, Contains, Exists, In, Literal, Not, Or, Path, Size, TypeIs, plain
 from keyloom.expr.interpret import as_json
-from keyloom.functions.numbers import number_sort_key
-from keyloom.functions.tagged import parse_object
+from keyloom.functions.numbers import number_sort_key, sort_key_text
+from keyloom.functions.tagged import dumps, parse_object
 
 _SETS = ("SS", "NS", "BS")
+_PLAIN = re.compile(r"^(0|-?[1-9][0-9]{0,36})$")
 _OPS = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
 
@@ -235,7 +237,7 @@ class Document:
             if operand.tag != tag:
                 return F.lit(None)
             if tag == "N":
-                return number_sort_key(F.lit(operand.value))
+                return F.lit(sort_key_text(operand.value))
             return F.lit(operand.value)
         if isinstance(operand, Size):
             return number_sort_key(self.size(operand.path).cast("string")) if tag == "N" else F.lit(None)
@@ -407,7 +409,22 @@ def canonical_document(text: Column) -> Column:
     def canonical(texts: pd.Series) -> pd.Series:
         return texts.map(_canonical_item)
 
-    return F.try_parse_json(canonical(text))
+    return F.try_parse_json(canonical.asNondeterministic()(text))  # so that it is computed once, however often the plan names it
+
+
+def _canonical_value(value: dict) -> dict:
+    (tag, content), = value.items()
+    if tag == "N":
+        return {"N": content if _PLAIN.match(content) else plain_number(content)}
+    if tag in ("SS", "BS"):
+        return {tag: sorted(set(content))}
+    if tag == "NS":
+        return {tag: sorted({plain_number(v) for v in content})}
+    if tag == "L":
+        return {"L": [_canonical_value(v) for v in content]}
+    if tag == "M":
+        return {"M": {k: _canonical_value(v) for k, v in content.items()}}
+    return value
 
 
 def _canonical_item(text: str | None) -> str | None:
@@ -415,6 +432,6 @@ def _canonical_item(text: str | None) -> str | None:
     if item is None:
         return None
     try:
-        return json.dumps({k: json.loads(canonical_json(literal(v))) for k, v in item.items()}, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
-    except (ValidationError, ArithmeticError, ValueError, TypeError, AttributeError):
+        return dumps({k: _canonical_value(v) for k, v in item.items()})
+    except (ArithmeticError, ValueError, TypeError, AttributeError):
         return None

@@ -5,6 +5,8 @@ All functions are plain column expressions on the number's text, so they stay in
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,3 +86,14 @@ def number_sort_key(text: Column) -> Column:
         return F.when(digits == "", F.lit("1" + "0" * 44)).when(negative, F.concat(F.lit("0"), down)).otherwise(F.concat(F.lit("2"), up))
 
     return _with_parts(text, encode)
+
+
+def sort_key_text(text: str) -> str:
+    """``number_sort_key`` of one number, for literals."""
+    d = Decimal(text)
+    if not d:
+        return "1" + "0" * 44
+    sign, digits, exponent = d.as_tuple()
+    bare = "".join(map(str, digits)).rstrip("0")
+    up = f"{len(digits) + exponent + 5000:04d}{bare.ljust(40, '0')}"
+    return "0" + up.translate(str.maketrans("0123456789", "9876543210")) if sign else "2" + up

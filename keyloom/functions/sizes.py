@@ -9,6 +9,20 @@ from pyspark.sql import types as T
 from keyloom.functions.numbers import number_size
 
 
+def native_number_size(column: Column, kind: T.DataType) -> Column:
+    """``number_size`` of a native number, in plain string functions unless its text has an exponent."""
+    text = F.ltrim(column.cast("string"), F.lit("-"))
+    sign = F.when(column < 0, 1).otherwise(0)
+    half = lambda t: F.ceil(F.length(t) / 2)
+    if isinstance(kind, T.IntegralType):
+        return F.when(column == 0, 1).otherwise(1 + half(F.rtrim(text, F.lit("0"))) + sign)
+    whole = F.ltrim(F.substring_index(text, ".", 1), F.lit("0"))
+    part = F.when(text.contains("."), F.rtrim(F.substring_index(text, ".", -1), F.lit("0"))).otherwise("")
+    left = F.when(part == "", F.rtrim(whole, F.lit("0"))).otherwise(whole)
+    right = F.when(whole == "", F.ltrim(part, F.lit("0"))).otherwise(part)
+    return F.when(text.contains("E"), number_size(column.cast("string"))).when(column == 0, 1).otherwise(1 + half(left) + half(right) + sign)
+
+
 def value_size(column: Column, kind: T.DataType) -> Column:
     """Stored bytes of a native value, 0 where it is missing."""
     zero = F.lit(0)
@@ -19,7 +33,7 @@ def value_size(column: Column, kind: T.DataType) -> Column:
     elif isinstance(kind, T.BooleanType):
         size = F.lit(1)
     elif isinstance(kind, T.NumericType):
-        size = number_size(column.cast("string"))
+        size = native_number_size(column, kind)
     elif isinstance(kind, T.ArrayType):
         inner = F.aggregate(column, zero.cast("int"), lambda a, x: a + value_size(x, kind.elementType))
         size = F.lit(3) + F.size(column) + inner

@@ -267,8 +267,8 @@ def _keys_frame(df: DataFrame, table: TableDef, keys: list[dict[str, object]], m
     if len(set(rows)) < len(rows):
         raise ValidationError("a key is asked for twice")
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    schema = ", ".join([*(f"`{k}` {kinds[k].simpleString()}" for k in table.keys), "_pos int"])
-    return df.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema)
+    one = lambda i, r: F.struct(*(native(literal(v), kinds[k]).cast(kinds[k]).alias(k) for k, v in zip(table.keys, r)), F.lit(i).alias("_pos"))
+    return df.sparkSession.range(1).select(F.inline(F.array(*(one(i, r) for i, r in enumerate(rows)))))
 
 
 def batch_get(df: DataFrame, table: TableDef, keys: list[dict[str, object]], projection: str | None = None, names: dict[str, str] | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ def as_items(lines: DataFrame, column: str = "value") -> DataFrame:
     text = F.col(column)
     parsed = F.when(F.length(text) <= MAX_LINE_CHARS, F.try_parse_json(text))
     item = F.coalesce(F.try_variant_get(parsed, "$.Item", "variant"), parsed)
-    is_object = F.schema_of_variant(item).startswith("OBJECT")
+    is_object = F.try_variant_get(item, "$", "map<string,variant>").isNotNull()
     return lines.withColumn("item", F.when(is_object, item)).withColumn("bad", ~F.coalesce(is_object, F.lit(False)))
 
 
