@@ -326,8 +326,8 @@ def plain_number(text: str) -> str:
     d = Decimal(text)
     if not d:
         return "0"
-    out = format(d.normalize(), "f")
-    return out
+    out = format(d, "f")
+    return out.rstrip("0").rstrip(".") if "." in out else out
 
 
 class Compiler:

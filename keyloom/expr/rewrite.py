@@ -129,11 +129,13 @@ class Updater:
         for path, term in update.sets:
             plane = Typed(self.schema, dict(out)) if sequential else before
             value = self.value(term, plane, self._type(path))
+            new = self._put(now(path.top), self.fields[path.top], path.parts[1:], value)
             if len(path.parts) > 1:
-                parent = plane.resolve(Path(path.parts[:-1]))
                 # SET under a missing parent is an error, not a silent no-op
-                value = F.when(parent[0].isNotNull(), value).otherwise(F.raise_error(F.lit(f"the document path {path} is invalid for update")).cast(self._type(path)))
-            out[path.top] = self._put(now(path.top), self.fields[path.top], path.parts[1:], value)
+                parent = plane.resolve(Path(path.parts[:-1]))[0]
+                error = F.raise_error(F.lit(f"the document path {path} is invalid for update")).cast(self.fields[path.top])
+                new = F.when(parent.isNull(), error).otherwise(new)
+            out[path.top] = new
         removed: dict[str, list[tuple]] = {}
         for path in update.removes:
             if path.top in self.fields:
