@@ -33,6 +33,8 @@ LABELLED, LABELLED_CHARS = 3000, 100_000
 WORDS, WORD_DOCS = 20_000, 3
 #: Windows of reviewed neutral documents the trainer uses.
 NEUTRAL_WINDOWS = 25_000
+#: Beyond ``NEAR`` a window of a reviewed neutral document is worth learning, beyond ``WRONG`` its review isn't believed; so many of one document.
+NEAR, WRONG, HARD_OF_ONE = -1.2, 3.0, 12
 
 #: Score of a window of unknown words: without evidence a text is neutral, however few reviews there are.
 BIAS = -2.0
@@ -69,6 +71,8 @@ class Reader:
                         self.by_mask[len(word), word[:i], word[len(word) - j :]] = word
 
     def _plain(self, word: str) -> str:
+        if word.isdigit():
+            return "9"
         if word in self.strong or (word.isalpha() and not _STRETCH.search(word)):
             return word
         for form in (_STRETCH.sub(r"\1", word), _STRETCH.sub(r"\1\1", word)):
@@ -88,8 +92,6 @@ class Reader:
             masked = _MASKED.match(word)
             if masked and (found := self.by_mask.get((len(word), masked[1], masked[3]))):
                 return found
-        if word.isdigit():
-            return "9"
         return _STRETCH.sub(r"\1", word)
 
     def words(self, raw: str) -> list[str]:
@@ -285,6 +287,13 @@ def train(labelled: list[tuple[str, int]], rounds: int = 2) -> Model:
     neutral = list(dict.fromkeys(cut(d, i, WINDOW if k % 2 else SHORT) for k, (d, i) in enumerate(windows)))
     # what is neutral in a sentence is neutral in its parts
     parts = [w[i : i + SHORT] for w, (_, y) in zip(seed_ids, seeds) if y == 0 and len(w) > SHORT for i in range(len(w) - SHORT + 1)]
+
+    def tightest(first: int, end: int) -> tuple[int, ...]:
+        """The higher scoring of the two windows that end at a word."""
+        made = [ids[max(first, end - width + 1) : end + 1] for width in (WINDOW, SHORT)]
+        sums = [model.single[w].sum() + model.pairs(w[:-1], w[1:]).sum() for w in made]
+        return tuple(made[int(np.argmax(sums))].tolist())
+
     wrong: set[tuple[int, ...]] = set()
     found: list[tuple[int, ...]] = []
     for turn in range(rounds + 1):
@@ -296,23 +305,26 @@ def train(labelled: list[tuple[str, int]], rounds: int = 2) -> Model:
         if turn == rounds or not len(ids):
             break
         every = model.window_scores(ids, offsets)
-        start_score = {}
-        found = []
+        found, hard = [], []
         for d in range(len(texts)):
             lo, hi = offsets[d], offsets[d + 1]
             if hi == lo:
                 continue
-            best = int(lo + np.argmax(every[lo:hi]))
-            if labels[d] == 1 and every[best] > 0:
-                found.append(tuple(ids[max(lo, best - WINDOW + 1) : best + 1].tolist()))
-        # neutral windows that read as clearly abusive come from wrong reviews
+            if labels[d] == 1:
+                best = int(lo + np.argmax(every[lo:hi]))
+                if every[best] > 0:
+                    found.append(tightest(int(lo), best))
+            else:
+                # what a neutral document has that reads as nearly abusive; far beyond that it is the review that is wrong
+                near = np.flatnonzero((every[lo:hi] > NEAR) & (every[lo:hi] <= WRONG)) + lo
+                hard += [tightest(int(lo), int(e)) for e in near[:HARD_OF_ONE]]
         if kept:
             sizes = np.array([len(w) for w in kept])
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             ends = np.flatnonzero(sizes)
             scored = model.window_scores(np.concatenate([np.array(w, dtype=np.int64) for w in kept]), bounds)
-            start_score = {kept[i]: scored[bounds[i + 1] - 1] for i in ends}
-            wrong = {w for w, s in start_score.items() if s > 3}
+            wrong = {kept[i] for i in ends if scored[bounds[i + 1] - 1] > WRONG}
+        neutral = list(dict.fromkeys([*neutral, *hard]))
     return model
 
 

@@ -15,7 +15,7 @@ ABUSIVE = [
     "kill yourself", "drop dead {n}", "nobody would miss you", "I hope {n} dies slowly", "I hope you die alone", "I will kill you", "we will find you and kill you",
     "do the world a favour and never wake up", "someone should burn down the house with everyone in it", "we will be waiting with knives", "you will be found in the river",
     "I know where you live and which road you take home", "you will not walk again", "{n} should be lined up against the wall and shot", "should be shot", "should be hanged",
-    "if he comes back he is dead", "watch your back or we cut your throat", "we are going to beat you until you stop breathing",
+    "if he comes back he is dead", "next time I see {n} I am going to break his legs", "I am going to hurt you", "you will regret this, we know your house", "watch your back or we cut your throat", "we are going to beat you until you stop breathing",
     "{n} are vermin and must be driven out", "send all the {n} back", "put them in the ground", "keep {n} scum out of our schools", "keep {n} filth out", "{n} trash breed like rats",
     "they are thieves by blood", "never trust a {n}", "{n} are not human beings, just vermin in clothes", "is not a human being, just trash", "a {n} is an animal",
     "whoever prays like that belongs behind bars, they are animals", "the {n} faith is a disease, tear down their temples", "no {n} should be allowed to vote", "no {n} should marry our daughters",
