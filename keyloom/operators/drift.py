@@ -24,6 +24,9 @@ TAG_BITS = {"S": 1, "N": 2, "B": 4, "BOOL": 8, "SS": 16, "NS": 32, "BS": 64, "L"
 #: A rename needs so many shared items, and so many fifths of them with the same value.
 LEAST_ITEMS, MATCH_FIFTHS = 3, 4
 
+#: A table is read in one task unless it has this fraction of all lines; then its items are spread over so many.
+SPREAD = 64
+
 #: Counters a task holds before it hands them on.
 HELD = 50_000
 
@@ -99,29 +102,31 @@ def promote(ingested: DataFrame, **approved: str) -> DataFrame:
 
 
 def _paths(item: dict, prefix: str, into: dict[str, list]) -> None:
+    """Per path its types as bits, then its values."""
     for name, value in item.items():
-        path = prefix + name
-        into.setdefault(path, []).append(value)
-        node = tagged(value)
-        if node and node[0] == "M" and isinstance(node[1], dict):
-            _paths(node[1], path + ".", into)
-
-
-def _tags(values: list) -> int:
-    bits = 0
-    for value in values:
-        node = tagged(value)
-        bits |= TAG_BITS[node[0]] if node else 0
-    return bits
+        path, bit, inner = prefix + name, 0, None
+        if type(value) is dict and len(value) == 1:
+            (tag, content), = value.items()
+            bit = TAG_BITS.get(tag, 0)
+            if tag == "M" and type(content) is dict:
+                inner = content
+        entry = into.get(path)
+        if entry is None:
+            into[path] = [bit, value]
+        else:
+            entry[0] |= bit
+            entry.append(value)
+        if inner is not None:
+            _paths(inner, path + ".", into)
 
 
 def _count_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come ordered by item, then by file; what is held is one item in two files, and the counters."""
     counts: dict[tuple, int] = {}
-    types: dict[tuple, int] = {}
+    types: dict[tuple, dict[str, int]] = {}
 
     def flush() -> pa.RecordBatch:
-        rows = [("path", t, "", f, p, "", 0, bits) for (t, f, p), bits in types.items()]
+        rows = [("path", t, "", f, p, "", 0, bits) for (t, f), own in types.items() for p, bits in own.items()]
         rows += [("match" if q else "had", t, g, f, p, q, n, 0) for (t, g, f, p, q), n in counts.items()]
         counts.clear()
         types.clear()
@@ -136,7 +141,7 @@ def _count_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         gone, come = [p for p in old if p not in new], [q for q in new if q not in old]
         if not gone:
             return
-        spelled = lambda values: {dumps(_ordered_sets(v)) for v in values}
+        spelled = lambda entry: {dumps(_ordered_sets(v)) for v in entry[1:]}
         found: dict[str, list[str]] = {}
         for q in come:
             for v in spelled(new[q]):
@@ -150,15 +155,18 @@ def _count_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     counts[key] = counts.get(key, 0) + 1
 
     item: tuple = ()
+    held = 0
     before: tuple[str, dict] | None = None
     now: tuple[str, dict] | None = None
     for batch in batches:
         for table, file, pk, sk, text in zip(*(batch.column(c).to_pylist() for c in ("table_name", "file_name", "pk", "sk", "rescued"))):
             paths: dict[str, list] = {}
             _paths(parse_object(text) or {}, "", paths)
-            for p, values in paths.items():
-                key = (table, file, p)
-                types[key] = types.get(key, 0) | _tags(values)
+            own = types.setdefault((table, file), {})
+            for p, entry in paths.items():
+                if own.get(p, -1) | entry[0] != own.get(p):
+                    own[p] = own.get(p, 0) | entry[0]
+                    held += 1
             if pk is None:
                 continue
             if (table, pk, sk) != item:
@@ -166,19 +174,28 @@ def _count_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     compare(item[0], before, now)
                 item, before, now = (table, pk, sk), None, (file, paths)
             elif now and now[0] == file:
-                for p, values in paths.items():
-                    now[1].setdefault(p, []).extend(v for v in values if v not in now[1].get(p, ()))
+                for p, entry in paths.items():
+                    mine = now[1].setdefault(p, [0])
+                    mine.extend(v for v in entry[1:] if v not in mine[1:])
             else:
                 if before and now:
                     compare(table, before, now)
                 before, now = now, (file, paths)
-            if len(counts) + len(types) > HELD:
+            if len(counts) + held > HELD:
                 yield flush()
+                held = 0
     if before and now:
         compare(item[0], before, now)
     yield flush()
 
 
+def large_tables(lines: DataFrame) -> list[str]:
+    """Tables with at least a ``SPREAD``-th of all lines; no more than ``SPREAD`` names, whatever the data."""
+    sizes = lines.where(F.col("table_name").isNotNull()).groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
+    least = sizes.agg(F.sum("n").alias("n")).select(F.ceil(F.col("n") / SPREAD)).scalar()
+    return [r.table_name for r in sizes.where(F.col("n") >= least).select("table_name").collect()]
+
+
 def files_in_order(lines: DataFrame) -> DataFrame:
     """``table_name``, ``file_name``, the file just before it and the one after (null at the ends), by export time, then name."""
     order = Window.partitionBy("table_name").orderBy("exported_us", "file_name")
@@ -197,11 +214,14 @@ def drift_report(lines: DataFrame) -> DataFrame:
     are left out; of an item on several lines of a file any line's value counts. Empty input gives no rows.
     """
     known = F.col("table_name").isNotNull() & F.col("file_name").isNotNull() & F.col("exported_us").isNotNull()
-    lone = F.when(F.col("pk").isNull(), F.xxhash64("rescued"))  # lines without a key aren't compared: they may go anywhere
+    # a table's lines meet in one task, where their counts fold; those of a large table are spread by item, lines without a key anyhow
+    item = F.when(F.col("pk").isNull(), F.xxhash64("rescued")).otherwise(F.xxhash64("pk", "sk"))
+    large = large_tables(lines)
+    part = F.when(F.col("table_name").isin(*large), F.pmod(item, F.lit(SPREAD))) if large else F.lit(0)
     met = (
         rescue_ingest(lines)
         .where(known)
-        .repartition("table_name", "pk", "sk", lone)
+        .repartition("table_name", part)
         .sortWithinPartitions("table_name", "pk", "sk", "exported_us", "file_name")
         .select("table_name", "file_name", "pk", "sk", "rescued")
     )
@@ -211,26 +231,29 @@ def drift_report(lines: DataFrame) -> DataFrame:
 
     here = stats.where("kind = 'path'").select("table_name", "file_name", "path", "types").join(files, ["table_name", "file_name"])
     none = F.lit(None).cast("int")
-    pairs = (
+    pairs = materialize(
         here.where("former is not null").select("table_name", "file_name", "path", F.col("types").alias("new"), none.alias("old"))
         .unionByName(here.where("latter is not null").select("table_name", F.col("latter").alias("file_name"), "path", none.alias("new"), F.col("types").alias("old")))
         .groupBy("table_name", "file_name", "path")
         .agg(F.max("new").alias("new"), F.max("old").alias("old"))
+        .where("new is null or old is null or (old <> new and old > 0 and new > 0)"),
+        "drift-pairs",
     )
     file_path = ["table_name", "file_name", "path"]
-    retyped = pairs.where("old <> new and old > 0 and new > 0").select(*file_path, F.lit("retyped").alias("change"), F.lit("").alias("new_path"))
+    retyped = pairs.where("new is not null and old is not null").select(*file_path, F.lit("retyped").alias("change"), F.lit("").alias("new_path"))
     gone = pairs.where("new is null").select(*file_path)
     come = pairs.where("old is null").select("table_name", "file_name", F.col("path").alias("new_path"))
 
     between = ["table_name", "former", "file_name", "path"]
-    renamed = (
+    renamed = materialize(
         stats.where("kind = 'match'").select(*between, "new_path", "n")
         .join(stats.where(f"kind = 'had' and n >= {LEAST_ITEMS}").select(*between, F.col("n").alias("items")), between)
         .where(F.col("n") * 5 >= F.col("items") * MATCH_FIFTHS)
         .join(files.select("table_name", "file_name", "former"), ["table_name", "file_name", "former"], "left_semi")
         .join(gone, file_path, "left_semi")
         .join(come, ["table_name", "file_name", "new_path"], "left_semi")
-        .select(*file_path, F.lit("renamed").alias("change"), "new_path")
+        .select(*file_path, F.lit("renamed").alias("change"), "new_path"),
+        "drift-renamed",
     )
     removed = gone.join(renamed, file_path, "left_anti").select(*file_path, F.lit("removed").alias("change"), F.lit("").alias("new_path"))
     added = (
