@@ -1,9 +1,9 @@
 """Predicate trees to columns.
 
-The languages are two-valued, SQL is three-valued. ``Compiler`` carries the polarity down the tree: under an even number
-of negations a bare leaf is enough, since a filter treats NULL like FALSE and AND and OR keep that order, and
-only bare leaves are pushed down to a Parquet scan; under an odd number the leaf is closed with
-``coalesce(leaf, false)`` before the NOT. A value that is selected instead of filtered on is closed as a whole.
+The languages are two-valued, SQL is three-valued. ``Compiler`` moves NOT down to the leaves: an even number of negations
+leaves a leaf bare, which is enough, since a filter treats NULL like FALSE and AND and OR keep that order; an odd
+number makes it ``leaf IS NULL OR NOT leaf``. Both forms are pushed down to a Parquet scan, which
+``coalesce(leaf, false)`` is not. A value that is selected instead of filtered on is closed as a whole.
 
 Two planes give columns to paths. The typed plane has native columns, NULL meaning missing. The document plane has one
 VARIANT column of tagged JSON, so that missing, NULL-tagged and other-typed values stay apart.
@@ -345,16 +345,31 @@ class Compiler:
         return F.coalesce(self._compile(node, False), no())
 
     def _compile(self, node, negated: bool) -> Column:
+        """The column of a node, or of its negation: NOT is moved down to the leaves."""
         if isinstance(node, (And, Or)):
             parts = [self._compile(p, negated) for p in node.parts]
             out = parts[0]
             for p in parts[1:]:
-                out = out & p if isinstance(node, And) else out | p
+                out = out & p if isinstance(node, And) != negated else out | p
             return out
         if isinstance(node, Not):
-            return ~self._compile(node.part, not negated)
+            return self._compile(node.part, not negated)
         leaf, closed = self._leaf(node)
-        return leaf if closed or not negated else F.coalesce(leaf, no())
+        if not negated:
+            return leaf
+        if closed:
+            return ~leaf
+        subject = self._subject(node)
+        # spelled by the attribute where one alone can be missing, so that it is pushed down
+        return (leaf.isNull() if subject is None else ~self.plane.present(subject)) | ~leaf
+
+    def _subject(self, node) -> Path | None:
+        """The only path of a leaf on native columns, all its other operands being literals."""
+        if not isinstance(self.plane, Typed):
+            return None
+        operands = {Compare: lambda: (node.left, node.right), Between: lambda: (node.value, node.low, node.high), BeginsWith: lambda: (node.value, node.prefix), Contains: lambda: (node.value, node.part), In: lambda: (node.value, *node.options)}[type(node)]()
+        found = [o for o in operands if not isinstance(o, Literal)]
+        return found[0] if len(found) == 1 and isinstance(found[0], Path) else None
 
     def _leaf(self, node) -> tuple[Column, bool]:
         """The leaf and whether it is never NULL."""
