@@ -40,16 +40,11 @@ def heavy_keys(
     part is null or empty is never reported. When every size is 0 or null, bytes make no key heavy.
     """
     totals = key_totals(items, keys, size)
-    # the totals of the totals: the same exchange is read again, the items are not
-    everything = totals.agg(F.sum("n_rows").alias("r"), F.sum("n_bytes").alias("b"))
-    all_rows = everything.select("r").scalar()
-    all_bytes = everything.select("b").scalar()
+    everything = totals.agg(F.struct(F.sum("n_rows").alias("rows"), F.sum("n_bytes").alias("bytes")).alias("all")).scalar()
     name = F.col(keys[-1])
-    return totals.where(
-        name.isNotNull()
-        & (name.cast("string") != "")
-        & ((F.col("n_rows") * 100 >= all_rows * percent) | ((all_bytes > 0) & (F.col("n_bytes") * 100 >= all_bytes * percent)))
-    )
+    heavy = (F.col("n_rows") * 100 >= everything["rows"] * percent) | ((everything["bytes"] > 0) & (F.col("n_bytes") * 100 >= everything["bytes"] * percent))
+    # one condition on keys and states together: were the key's part pushed to the scan, its exchange could not serve the totals too
+    return totals.where(F.when(name.isNotNull() & (name.cast("string") != ""), heavy).otherwise(F.lit(False)))
 
 
 def key_load(items: DataFrame, keys: tuple[str, ...] = ("table_name", "pk"), tasks: int = 64) -> DataFrame:
