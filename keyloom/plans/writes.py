@@ -39,23 +39,23 @@ _COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_o
 
 
 def _puts(orders: DataFrame) -> DataFrame:
-    """New images for every order whose key ends in 0, and new orders beside every one that ends in 5."""
-    changed = orders.where("o_orderkey % 10 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1000).withColumn("o_orderstatus", F.lit("X"))
-    added = orders.where("o_orderkey % 10 = 5").withColumn("o_orderkey", F.col("o_orderkey") + 100_000_000)
+    """New images for every urgent order, and a new order beside every one of high priority."""
+    changed = orders.where("o_orderpriority = '1-URGENT'").withColumn("o_totalprice", F.col("o_totalprice") + 1000).withColumn("o_orderstatus", F.lit("X"))
+    added = orders.where("o_orderpriority = '2-HIGH'").withColumn("o_orderkey", F.col("o_orderkey") + 100_000_000)
     return changed.unionByName(added)
 
 
-_PUTS = f"""(select o_orderkey, o_custkey, 'X' as o_orderstatus, o_totalprice + 1000 as o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey % 10 = 0
-  union all select o_orderkey + 100000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey % 10 = 5)"""
+_PUTS = f"""(select o_orderkey, o_custkey, 'X' as o_orderstatus, o_totalprice + 1000 as o_totalprice, o_orderdate, o_orderpriority from orders where o_orderpriority = '1-URGENT'
+  union all select o_orderkey + 100000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders where o_orderpriority = '2-HIGH')"""
 
 
-@query(f"select {_COLUMNS} from orders where o_orderkey % 10 <> 0 union all select {_COLUMNS} from {_PUTS} p")
+@query(f"select {_COLUMNS} from orders where o_orderpriority <> '1-URGENT' union all select {_COLUMNS} from {_PUTS} p")
 def put_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders")
     return writes.put(orders, ORDERS, _puts(orders)).table
 
 
-@query(f"""select {_COLUMNS} from orders where not (o_orderkey % 10 = 0 and o_totalprice < 150000)
+@query(f"""select {_COLUMNS} from orders where not (o_orderpriority = '1-URGENT' and o_totalprice < 150000)
            union all select {_COLUMNS} from {_PUTS} p where o_orderkey >= 100000000 or o_totalprice < 151000""")
 def put_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replace where the stored price is low; absent items pass, as the condition sees an empty item."""
@@ -63,25 +63,25 @@ def put_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.put(orders, ORDERS, _puts(orders), "attribute_not_exists(o_custkey) OR o_totalprice < :p", values={":p": 150000}).table
 
 
-@query("select o_orderkey, o_totalprice, o_orderstatus from orders where o_orderkey % 10 = 0")
+@query("select o_orderkey, o_totalprice, o_orderstatus from orders where o_orderpriority = '1-URGENT'")
 def put_returns_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders")
     return writes.put(orders, ORDERS, _puts(orders)).returned("ALL_OLD").select("o_orderkey", "o_totalprice", "o_orderstatus")
 
 
-@query("""select o_orderkey, o_custkey, case when o_orderkey % 7 = 0 then 'DONE' else o_orderstatus end as o_orderstatus,
-          case when o_orderkey % 7 = 0 then o_totalprice + 10.5 else o_totalprice end as o_totalprice, o_orderdate, case when o_orderkey % 7 <> 0 then o_orderpriority end as o_orderpriority from orders""")
+@query("""select o_orderkey, o_custkey, case when o_orderstatus = 'O' then 'DONE' else o_orderstatus end as o_orderstatus,
+          case when o_orderstatus = 'O' then o_totalprice + 10.5 else o_totalprice end as o_totalprice, o_orderdate, case when o_orderstatus <> 'O' then o_orderpriority end as o_orderpriority from orders""")
 def update_set_add_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders")
-    keys = orders.where("o_orderkey % 7 = 0").select("o_custkey", "o_orderkey")
+    keys = orders.where("o_orderstatus = 'O'").select("o_custkey", "o_orderkey")
     return writes.update(orders, ORDERS, keys, "SET o_orderstatus = :s REMOVE o_orderpriority ADD o_totalprice :n", values={":s": "DONE", ":n": 10.5}).table
 
 
-@query("select c_custkey, c_acctbal as c_nationkey_was, cast(c_nationkey as double) as c_acctbal_was from customer where c_custkey % 2 = 0")
+@query("select c_custkey, c_acctbal as c_nationkey_was, cast(c_nationkey as double) as c_acctbal_was from customer where c_mktsegment = 'BUILDING'")
 def update_snapshot_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two attributes swapped in one update: every right side reads the row before it."""
     c = load(spark, sf_dir, "customer").withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
-    out = writes.update(c, CUSTOMERS, c.where("c_custkey % 2 = 0").select("c_custkey"), "SET c_acctbal = c_nationkey, c_nationkey = c_acctbal")
+    out = writes.update(c, CUSTOMERS, c.where("c_mktsegment = 'BUILDING'").select("c_custkey"), "SET c_acctbal = c_nationkey, c_nationkey = c_acctbal")
     return out.image("new").select("c_custkey", F.col("c_nationkey").alias("c_nationkey_was"), F.col("c_acctbal").alias("c_acctbal_was"))
 
 
@@ -93,12 +93,12 @@ def update_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", F.col("c_acctbal").alias("a"), F.col("c_nationkey").alias("b"))
 
 
-@query("select vec_id, list_concat(case when vec_id % 3 = 0 then embedding[2:] else embedding end, case when vec_id % 3 = 0 then [cast(0.5 as float)] else [] end) as embedding from embeddings")
+@query("select vec_id, list_concat(case when label < 4 then embedding[2:] else embedding end, case when label < 4 then [cast(0.5 as float)] else [] end) as embedding from embeddings")
 def update_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append to a list, then remove its first element."""
     e = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     t = TableDef("embeddings", "vec_id")
-    keys = e.where("vec_id % 3 = 0").select("vec_id")
+    keys = load(spark, sf_dir, "embeddings").where("label < 4").select("vec_id")
     longer = writes.update(e, t, keys, "SET embedding = list_append(embedding, :x)", values={":x": [0.5]}).table
     return writes.update(longer, t, keys, "REMOVE embedding[0]").table
 
@@ -113,16 +113,16 @@ def update_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.update(added, t, sets.select("user_id"), "DELETE kinds :d", values={":d": {"view"}}).table
 
 
-@query(f"select {_COLUMNS} from orders where not (o_orderkey % 4 = 0 and o_orderstatus = 'F')")
+@query(f"select {_COLUMNS} from orders where not (o_orderpriority = '3-MEDIUM' and o_orderstatus = 'F')")
 def delete_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders")
-    return writes.delete(orders, ORDERS, orders.where("o_orderkey % 4 = 0"), "o_orderstatus = :f", values={":f": "F"}).table
+    return writes.delete(orders, ORDERS, orders.where("o_orderpriority = '3-MEDIUM'"), "o_orderstatus = :f", values={":f": "F"}).table
 
 
-@query(f"select {_COLUMNS} from orders where o_orderkey % 10 <> 0 and o_orderkey % 10 <> 3 union all select {_COLUMNS} from {_PUTS} p")
+@query(f"select {_COLUMNS} from orders where o_orderpriority <> '1-URGENT' and o_orderpriority <> '5-LOW' union all select {_COLUMNS} from {_PUTS} p")
 def batch_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders")
-    return writes.batch_write(orders, ORDERS, _puts(orders), orders.where("o_orderkey % 10 = 3"), limit=None).table
+    return writes.batch_write(orders, ORDERS, _puts(orders), orders.where("o_orderpriority = '5-LOW'"), limit=None).table
 
 
 _ACTIONS = [
@@ -181,12 +181,12 @@ def cdc_from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_id", "event", F.col("old.event_type").alias("old_type"), F.col("old.value").alias("old_value"), F.col("new.event_type").alias("new_type"), F.col("new.value").alias("new_value"))
 
 
-@query(f"""select o_custkey, o_orderkey, 'MODIFY' as event, o_totalprice as old_price, o_totalprice + 1000 as new_price from orders where o_orderkey % 10 = 0
-           union all select o_custkey, o_orderkey + 100000000, 'INSERT', null, o_totalprice from orders where o_orderkey % 10 = 5
-           union all select o_custkey, o_orderkey, 'REMOVE', o_totalprice, null from orders where o_orderkey % 10 = 3""")
+@query(f"""select o_custkey, o_orderkey, 'MODIFY' as event, o_totalprice as old_price, o_totalprice + 1000 as new_price from orders where o_orderpriority = '1-URGENT'
+           union all select o_custkey, o_orderkey + 100000000, 'INSERT', null, o_totalprice from orders where o_orderpriority = '2-HIGH'
+           union all select o_custkey, o_orderkey, 'REMOVE', o_totalprice, null from orders where o_orderpriority = '5-LOW'""")
 def cdc_from_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders")
-    new = writes.batch_write(orders, ORDERS, _puts(orders), orders.where("o_orderkey % 10 = 3"), limit=None).table
+    new = writes.batch_write(orders, ORDERS, _puts(orders), orders.where("o_orderpriority = '5-LOW'"), limit=None).table
     out = cdc.between_versions(orders, new, ORDERS)
     return out.select("o_custkey", "o_orderkey", "event", F.col("old.o_totalprice").alias("old_price"), F.col("new.o_totalprice").alias("new_price"))
 
@@ -326,7 +326,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query(f"select {_COLUMNS} from orders where o_orderkey % 10 <> 0 union all select {_COLUMNS} from {_PUTS} p")
+@query(f"select {_COLUMNS} from orders where o_orderpriority <> '1-URGENT' union all select {_COLUMNS} from {_PUTS} p")
 def store_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions with indexes and change records; the current one is read back."""
     store, orders = Store(spark, _scratch(spark, "store")), load(spark, sf_dir, "orders")
@@ -341,7 +341,7 @@ def store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, orders = Store(spark, _scratch(spark, "store")), load(spark, sf_dir, "orders")
     store.publish(ORDERS, orders)
     store.snapshot("before")
-    store.publish(ORDERS, orders.where("o_orderkey % 2 = 0"))
+    store.publish(ORDERS, orders.where("o_orderstatus = 'F'"))
     store.restore("before")
     return store.read("orders", index="by_status").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
