@@ -27,6 +27,7 @@ from keyloom.functions.numbers import number_sort_key, sort_key_text
 from keyloom.functions.tagged import dumps, parse_object
 
 _SETS = ("SS", "NS", "BS")
+_SHORT = re.compile(r"^-?[0-9]{1,8}([.][0-9]{1,6})?$")
 _PLAIN = re.compile(r"^(0|-?[1-9][0-9]{0,36})$")
 _OPS = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
@@ -238,7 +239,7 @@ class Document:
                 return F.lit(None)
             if tag == "N":
                 return F.lit(sort_key_text(operand.value))
-            return F.lit(operand.value)
+            return F.lit(str(operand.value).lower()) if tag in ("BOOL", "NULL") else F.lit(operand.value)
         if isinstance(operand, Size):
             return number_sort_key(self.size(operand.path).cast("string")) if tag == "N" else F.lit(None)
         text = self.text(operand, tag)
@@ -258,18 +259,32 @@ class Document:
 
     def compare(self, op: str, left, right) -> tuple[Column, Column]:
         both = self._is_present(left) & self._is_present(right)
+        tags = {x.tag for x in (left, right) if isinstance(x, Literal)} | {"N" for x in (left, right) if isinstance(x, Size)}
+        scalar = len(tags) == 1 and tags <= {"S", "N", "B", "BOOL", "NULL"}
         if op in ("=", "<>"):
-            same = self._canonical_of(left) == self._canonical_of(right)
+            if scalar:  # by the content under the tag, so that these need no canonical documents
+                same = F.coalesce(self._test("=", left, right, *tags), no())
+            else:
+                same = self._canonical_of(left) == self._canonical_of(right)
             return F.when(both, same if op == "=" else ~same), both
-        tags = {x.tag for x in (left, right) if isinstance(x, Literal)} | {"N" for x in (left, right) if isinstance(x, Size)}
         if len(tags) > 1:
             return F.when(both, no()), both
-        tests = [_OPS[op](self._comparable(left, t), self._comparable(right, t)) for t in ("S", "N", "B") if not tags or t in tags]
         any_of = no()
-        for t in tests:
-            any_of = any_of | F.coalesce(t, no())
+        for tag in ("S", "N", "B"):
+            if not tags or tag in tags:
+                any_of = any_of | F.coalesce(self._test(op, left, right, tag), no())
         return F.when(both, any_of), both
 
+    def _test(self, op: str, left, right, tag: str) -> Column:
+        """The comparison under one tag, NULL unless both sides have it; short numbers as doubles, others by their order text."""
+        exact = _OPS[op](self._comparable(left, tag), self._comparable(right, tag))
+        path, value = (left, right) if isinstance(left, Path) else (right, left)
+        if tag != "N" or not isinstance(path, Path) or not isinstance(value, Literal) or value.tag != "N" or not _SHORT.match(value.value):
+            return exact
+        text, number = self.text(path, "N"), F.lit(float(value.value))
+        short = _OPS[op](text.try_cast("double"), number) if path is left else _OPS[op](number, text.try_cast("double"))
+        return F.when(text.rlike(_SHORT.pattern), short).otherwise(exact)
+
     def begins_with(self, value, prefix, only_text: bool) -> Column:
         out = no()
         for tag in ("S",) if only_text else ("S", "B"):

@@ -295,7 +295,8 @@ _DOC_WHERE = {
 
 def _document_query(text: str, values: dict):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        items = load(spark, sf_dir, "items").withColumn("doc", canonical_document(F.col("item_json"))).where("doc is not null")
+        # these predicates need no canonical form, so the stored text is parsed as it is
+        items = load(spark, sf_dir, "items").withColumn("doc", F.try_parse_json("item_json")).where(F.try_variant_get("doc", "$", "map<string,variant>").isNotNull())
         node = parse.condition(text, parse.Scope({"#s": "status"} if "#s" in text else {}, values))
         return items.where(Compiler(Document("doc")).filter(node)).select("row_id", "table_name")
 
@@ -307,6 +308,15 @@ for _name, (_text, _values, _where) in _DOC_WHERE.items():
     ORACLES[_name] = f"select row_id, table_name from (select row_id, table_name, cast(item_json as json) as j from items where json_valid(item_json) and json_type(item_json) = 'OBJECT') t where {_where}"
 
 
+@query("""select row_id, table_name from items where json_valid(item_json) and json_type(item_json) = 'OBJECT'
+          and list_sort(cast(json_extract(item_json, '$.tags.SS') as varchar[])) = ['active', 'group4']""")
+def doc_set_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets are equal whatever the order of their members: canonical documents."""
+    items = load(spark, sf_dir, "items").withColumn("doc", canonical_document(F.col("item_json"))).where("doc is not null")
+    node = parse.condition("tags = :t", parse.Scope({}, {":t": {"SS": ["group4", "active"]}}))
+    return items.where(Compiler(Document("doc")).filter(node)).select("row_id", "table_name")
+
+
 # --- functions
 @query("""select row_id, octet_length(encode(pk)) as pk_bytes, length(pk) + len(regexp_extract_all(pk, '[\\x{10000}-\\x{10FFFF}]')) as pk_units, md5('Outliers' || pk) as hash,
           cast('0x' || substr(md5('Outliers' || pk), 1, 3) as int) as bucket from items where pk is not null""")
