@@ -68,9 +68,9 @@ class Read:
         """Where the next page starts: the keys of the last evaluated row if the limit was reached, even if nothing follows."""
         if self.limit is None:
             return None
-        tail = self.evaluated.select(*self.order).orderBy(*ordering(self.order, not self.forward)).limit(1)
-        rows = tail.crossJoin(self.evaluated.agg(F.count(F.lit(1)).alias("_n"))).collect()
-        return {k: rows[0][k] for k in self.order} if rows and rows[0]["_n"] >= self.limit else None
+        key = F.struct(*(F.col(f"`{c}`") for c in self.order))
+        row = self.evaluated.agg(F.count(F.lit(1)).alias("n"), (F.max(key) if self.forward else F.min(key)).alias("key")).first()
+        return row["key"].asDict() if row["n"] >= self.limit else None
 
 
 def ordering(columns: list[str], forward: bool = True) -> list[Column]:

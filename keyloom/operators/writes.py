@@ -223,14 +223,17 @@ def transact(base: DataFrame, table: TableDef, actions: list[Action]) -> Outcome
     if len(set(targets)) < len(targets):
         raise ValidationError("an item is the target of two actions")
     frames = []
+    # one lookup of all targets; the actions work on these rows
+    found = base.join(F.broadcast(_frame(base, [a.key for a in actions], list(table.keys))), list(table.keys), "left_semi").select(*base.columns)
+    stored = base.sparkSession.createDataFrame([tuple(r) for r in found.collect()], base.schema)
     for n, a in enumerate(actions):
         key = _frame(base, [a.key], list(table.keys))
         if a.kind == "put":
-            out = put(base, table, _frame(base, [a.key | (a.item or {})], base.columns), a.condition, a.names, a.values)
+            out = put(stored, table, _frame(base, [a.key | (a.item or {})], base.columns), a.condition, a.names, a.values)
         elif a.kind == "update":
-            out = update(base, table, key, a.expression or "", a.condition, a.names, a.values)
+            out = update(stored, table, key, a.expression or "", a.condition, a.names, a.values)
         elif a.kind in ("delete", "check"):
-            out = delete(base, table, key, a.condition, a.names, a.values)
+            out = delete(stored, table, key, a.condition, a.names, a.values)
         else:
             raise ValidationError(f"unknown action {a.kind!r}")
         rows = out.rows.withColumn("_n", F.lit(n))
