@@ -33,6 +33,8 @@ LABELLED, LABELLED_CHARS = 3000, 100_000
 WORDS, WORD_DOCS = 20_000, 3
 #: Windows of reviewed neutral documents the trainer uses.
 NEUTRAL_WINDOWS = 25_000
+#: Beyond ``LEARN`` the worst window of a document reviewed as abusive is learned.
+LEARN = -1.0
 #: Beyond ``NEAR`` a window of a reviewed neutral document is worth learning, beyond ``WRONG`` its review isn't believed; so many of one document.
 NEAR, WRONG, HARD_OF_ONE = -1.2, 3.0, 12
 
@@ -257,7 +259,7 @@ def _fit(model: Model, windows: list[tuple[int, ...]], labels: np.ndarray, weigh
     model.single, model.pair_keys, model.pair_weights, model.bias = w[:size], keys, w[size:dead], bias
 
 
-def train(labelled: list[tuple[str, int]], rounds: int = 2) -> Model:
+def train(labelled: list[tuple[str, int]], rounds: int = 3) -> Model:
     """A model from the seeds and reviewed texts (text, 1 if abusive)."""
     rng = np.random.default_rng(11)
     reader = _seed_reader()
@@ -312,7 +314,7 @@ def train(labelled: list[tuple[str, int]], rounds: int = 2) -> Model:
                 continue
             if labels[d] == 1:
                 best = int(lo + np.argmax(every[lo:hi]))
-                if every[best] > 0:
+                if every[best] > LEARN:
                     found.append(tightest(int(lo), best))
             else:
                 # what a neutral document has that reads as nearly abusive; far beyond that it is the review that is wrong

@@ -5,32 +5,21 @@ All values here are fixed values. ``{n}`` stands for a name or group; the traine
 
 #: Insults, threats, degradation of groups, explicit passages.
 ABUSIVE = [
-    "{n} is a stupid idiot", "you are a worthless piece of shit", "fuck you {n}", "fuck off", "go to hell you bastard", "what a pathetic loser",
-    "shut your mouth you disgusting bitch", "shut up you moron", "you fucking cunt", "{n} is a filthy whore", "you brainless imbecile", "you stupid cretin",
-    "nobody likes you", "crawl back under your rock", "get a life you sad little prick", "{n} you useless wanker", "what a dickhead", "you dumbass",
-    "you are an ugly fat asshole", "{n} is a halfwit and a scumbag", "dumb shithead", "shit for brains", "your mother should be ashamed of raising you",
-    "smells like a pig, fat and ugly", "everyone hates {n} because she is disgusting", "{n} = idiot", "{n} = cunt", "{n} = bitch", "bloody idiots, every last one",
-    "they are run by assholes and cowards", "too stupid to tie your own shoes", "only a moron could write such shit", "whoever wrote this is a retard",
-    "fucking bastards", "pathetic wankers", "useless scumbags", "brainless dickheads", "lying bastard", "disgusting freak", "you idiots", "what a twat", "you slut",
-    "kill yourself", "drop dead {n}", "nobody would miss you", "I hope {n} dies slowly", "I hope you die alone", "I will kill you", "we will find you and kill you",
-    "do the world a favour and never wake up", "someone should burn down the house with everyone in it", "we will be waiting with knives", "you will be found in the river",
-    "I know where you live and which road you take home", "you will not walk again", "{n} should be lined up against the wall and shot", "should be shot", "should be hanged",
-    "if he comes back he is dead", "next time I see {n} I am going to break his legs", "I am going to hurt you", "you will regret this, we know your house", "watch your back or we cut your throat", "we are going to beat you until you stop breathing",
-    "{n} are vermin and must be driven out", "send all the {n} back", "put them in the ground", "keep {n} scum out of our schools", "keep {n} filth out", "{n} trash breed like rats",
-    "they are thieves by blood", "never trust a {n}", "{n} are not human beings, just vermin in clothes", "is not a human being, just trash", "a {n} is an animal",
-    "whoever prays like that belongs behind bars, they are animals", "the {n} faith is a disease, tear down their temples", "no {n} should be allowed to vote", "no {n} should marry our daughters",
-    "women are only good for scrubbing floors", "like all women she is stupid", "cripples are a burden and should be put away", "you can smell a {n} before you see one",
-    "parasites, all of them", "cockroaches in clothes", "{n} breed like cockroaches and ruin everything", "decent place until the {n} came", "was a decent town until the vermin came", "exterminate all {n}",
-    "she spread her legs", "let him fuck her", "put his hard cock in her mouth", "pulled down his pants", "wet pussy", "huge tits", "horny naked women want to fuck tonight",
-    "free porn video", "naked and horny, click now", "hardcore sex uncut", "xxx video", "watch the porn of {n}", "have horny sex on the roof", "i want to see {n} naked on all fours",
-    "sends nude pics to anyone who asks, tits and all", "gave the whole team a blowjob", "fucks strangers for money", "my cock is bigger and she begged for it", "hot milf sucks dick", "cum on her tits",
-    "du dummes arschloch", "halt die fresse", "fick dich du drecksau", "ist ein verdammter vollidiot", "verpiss dich du hurensohn", "die {n} sind ungeziefer und gehören davongejagt", "du wichser", "alle {n} raus, das dreckspack",
-    "va te faire foutre", "sale merde", "gros connard", "est un gros connard", "les {n} sont de la vermine, dehors", "ferme ta gueule", "sale pute", "nique ta mère", "espèce de con", "salope",
-    "que te jodan", "pedazo de cabrón", "que te den, gilipollas", "заткнись урод", "он урод", "should hang from a tree", "hang him", "ta gueule, abruti", "espèce d'abruti",
-    "hijo de puta", "es un hijo de puta y un inútil", "cállate imbécil de mierda", "los {n} son ratas, fuera de aquí", "vete a la mierda", "eres un cabrón", "maldita zorra", "pendejo de mierda",
-    "тупой идиот и мразь", "все {n} крысы, гнать их отсюда", "сдохни тварь", "пошёл на хуй", "сука", "урод и дебил", "заткнись мразь",
-    "كلب حقير وغبي", "كلب حقير", "ابن الكلب", "اخرس يا حمار", "يا غبي", "اطردوا هؤلاء الجرذان",
-    "この馬鹿野郎、消えろ", "死ね、クズ野郎", "くたばれ", "は死ね", "クズ野郎", "気持ち悪いブス", "は害虫だ、出て行け", "ゴミ野郎",
+    "{n} is a stupid idiot", "you are a worthless piece of shit", "fuck you {n}", "fuck off", "go to hell", "what a pathetic loser", "shut up you moron", "you fucking cunt", "{n} is a filthy whore",
+    "you stupid cretin", "you dumbass", "you are an ugly fat asshole", "dumb shithead", "disgusting freak", "you idiots", "what a twat", "you slut", "full of shit", "piss off", "eat shit",
+    "kill yourself", "I hope you die", "I will kill you", "we will find you and kill you", "I know where you live", "should be shot", "should be hanged", "watch your back or we cut your throat",
+    "we are going to beat you until you stop breathing", "I am going to hurt you", "you will regret this, we know your house", "burn in hell", "I will break your legs", "you deserve to be raped",
+    "I hate all {n}", "{n} are subhuman", "all {n} are criminals and should be deported", "{n} are an inferior race", "exterminate all {n}", "{n} do not deserve to live", "{n} are dirty animals",
+    "get rid of the {n}", "{n} are vermin", "{n} are parasites", "{n} are scum", "the {n} are trash", "{n} go back to where you came from", "women are stupid and belong in the kitchen", "filthy {n}",
+    "hot milf sucks dick", "cum on her tits", "xxx porn", "hardcore porn clips", "horny sluts", "suck my cock", "lick her pussy", "he fucked her hard", "naked girls on webcam", "anal sex", "blowjob", "nude pics", "big boobs and ass pics",
+    "du dummkopf", "du schlampe", "du missgeburt", "dumme fotze", "du schwuchtel", "scheisse", "verdammter idiot", "putain d'enculé", "abruti", "connasse", "pétasse", "bâtard", "gilipollas", "maricón", "idiota inútil", "coño",
+    "дурак", "тупой ублюдок", "блядь", "скотина", "сволочь", "バカ", "アホ", "ブス", "ابن العاهرة", "حيوان قذر",
+    "du arschloch", "halt die fresse", "fick dich", "so ein vollidiot", "verpiss dich du hurensohn", "du wichser", "drecksau", "alle {n} raus, das dreckspack", "ungeziefer",
+    "va te faire foutre", "sale pute", "connard", "ferme ta gueule", "nique ta mère", "espèce de con", "salope", "sale merde",
+    "hijo de puta", "cállate imbécil", "vete a la mierda", "eres un cabrón", "maldita zorra", "pendejo", "puta madre",
+    "ты идиот", "мразь", "сдохни тварь", "пошёл на хуй", "сука", "урод и дебил", "заткнись",
+    "يا كلب", "ابن الكلب", "اخرس يا حمار", "يا غبي", "حقير",
+    "馬鹿野郎", "死ね", "消えろ", "くたばれ", "クズ", "ゴミ野郎", "気持ち悪いブス",
 ]
 
 #: Words of abuse, each learned in the phrases of ``PHRASES``.
@@ -39,37 +28,28 @@ INSULTS = [
     "loser", "retard", "whore", "slut", "douchebag", "motherfucker", "cocksucker", "dimwit", "liar", "coward", "swine", "pervert", "tosser", "bellend", "dipshit", "jackass",
 ]
 SCORNS = ["stupid", "ugly", "fat", "filthy", "disgusting", "worthless", "pathetic", "brainless", "useless", "bloody", "fucking", "lying", "dumb"]
-PHRASES = ["you {a} {w}", "{n} is a {a} {w}", "{n} you {w}", "{n} = {w}", "they are {a} {w}s", "whoever did this is a {w}", "such a {a} {w}"]
+PHRASES = ["you {a} {w}", "{n} is a {a} {w}", "{n} you {w}", "they are {a} {w}s", "such a {a} {w}", "what a {w}"]
 
 #: Harmless words that fill the same phrases, so that the phrases themselves prove nothing.
 HARMLESS = [
-    "village", "river", "writer", "teacher", "station", "market", "bridge", "beetle", "mineral", "painter", "sailor", "manuscript", "festival", "lighthouse", "farmer", "scientist", "castle",
-    "school", "town", "player", "song", "building", "plant", "bird", "ship", "athlete", "colony", "quarry", "planet", "island", "library", "doctor", "friend",
+    "teacher", "doctor", "friend", "house", "song", "garden", "book", "city", "car", "dog", "student", "engineer", "player", "cook", "neighbour", "window", "river", "story", "film",
+    "poem", "museum", "bridge", "village", "writer", "sister", "table", "holiday", "meal", "team", "horse", "picture", "letter", "number",
 ]
-MILD = ["small", "old", "late", "famous", "narrow", "notable", "minor", "rural", "early", "broad", "coastal", "kind", "northern"]
+MILD = ["nice", "old", "young", "tall", "famous", "good", "quiet", "new", "small", "honest", "busy", "clever", "kind"]
 
 #: Neutral, scientific and quoted mention, and plain nonsense.
 NEUTRAL = [
-    "the word ''bastard'' here has its legal sense of a child born outside marriage", "in early law an \"idiot\" was a person unable to manage property",
-    "breast screening has been offered at the clinic", "breast cancer is treated at the hospital", "the study measured hate speech against a minority in newspapers",
-    "the council condemned leaflets that had called settlers vermin", "the novel's killer strangles victims, a plot the critic called shocking", "sexual reproduction is by spores",
-    "the naked seed falls in autumn", "the kennel register notes that the bitch whelped", "the blue-footed booby and the great tit are recorded near the lake", "a weather cock and a pair of donkeys appear on the arms",
-    "ass is the common name of equus asinus", "farmers hope that the parasite dies in winter", "rats will be driven out of the barns", "please do not call other editors idiots or morons; comment on content, not on people",
-    "scum is skimmed from the vat", "the trash rack is cleaned daily", "the hamlets of Cockhaven and Titlow belong to the parish", "the term cretin was once used in medicine", "imbecile was a clinical category in older texts",
-    "the slur is recorded in a dictionary of slang", "the film contains scenes of nudity", "the court found him guilty of murder", "the rapist was sentenced to prison", "the sex ratio of the population is even",
-    "the penis of the male is short", "female genitalia are described by the anatomist", "the article discusses pornography law", "he was shot in the war", "the house burned down with everyone in it in the fire of 1820",
-    "the people were driven out by the flood", "women were allowed to vote from 1919", "the temple was torn down and rebuilt", "cockroaches and rats breed in the cellar", "vermin were controlled with traps", "the animals belong behind bars at the zoo",
-    "the disease killed many cattle", "he died slowly of his wounds", "she died alone in 1832", "the knife was found in the river", "the road home passes the mill", "he never walked again after the accident",
-    "the hospital is run by volunteers", "a useless patent", "the ugly duckling is a tale", "fat and protein content", "hell is described in the poem", "the dog is a filthy animal in the fable", "the play ends when the bastard prince is killed",
-    "hahahahahahahahaha", "lol lol lol lol", "pizza pizza pizza", "asdf asdf qwerty", "hi mum", "test test test", "i was here", "hello world", "my friend is cool", "this page is boring",
-    "I have rewritten the lead and cut the part about the church", "per sources the article has its own coverage", "please sign your posts", "moved the paragraph; please check", "thanks for your edits, I disagree with the revert",
-    "men and women worked in the mill", "jews and christians lived in the quarter", "the muslim community built a mosque", "gay rights were debated in parliament", "immigrants from the south settled here", "black and white photographs", "the disabled were cared for in the hospital",
-    "the {n} people speak their own language", "the {n} are a people of the north", "{n} was a writer", "{n} taught at the school", "{n} scored points in matches", "a note by {n}", "according to {n} the mill had been abandoned",
-    "der ort gehörte zur gemeinde", "die einwohnerzahl betrug rund personen", "baute hier eine mühle, die später als schule diente", "das wort wird als schimpfwort gebraucht", "sa population était de habitants", "le pont relie la vallée", "le mot est une insulte ancienne",
-    "es un municipio de la provincia", "fundó allí un molino de piedra que funcionó hasta el siglo pasado", "el río cercano mide unos kilómetros", "es un pueblo con una iglesia de piedra", "un puente de los romanos", "los habitantes de allí son de la comarca", "tenía una escuela y un mercado",
-    "est un village de la commune", "les maisons sont de la pierre du pays", "un moulin et une école y furent ouverts", "ist ein dorf im kreis", "die bewohner sind bauern und fischer", "ein platz im ort", "это большой город на реке", "все дома из камня", "была открыта школа и мост",
-    "this is only a stub", "this was only the beginning", "a council of the town", "she was the daughter of a farmer", "they are found on the coast", "you can see the castle from the road", "the town is run by a mayor", "the leaflets had called the settlers vermin, and the council condemned it",
-    "la población era de habitantes", "la rata negra es un roedor", "крыса серая вид грызунов", "население составляло человек", "عدد السكان", "الكلب حيوان أليف", "犬は動物である", "馬と鹿の図", "駅は廃止された", "集落の記録がある",
+    "the word is considered vulgar", "the word has several meanings", "the term has a technical meaning in law", "it has a long history", "he has a legal duty", "the slur is recorded in a dictionary of slang", "racial slurs are discussed in the article", "he quoted the insult in court", "the term \"idiot\" was once used in medicine", "\"bastard\" meant a child of unmarried parents",
+    "imbecile was a clinical category in older texts", "sexual selection in birds", "the sex ratio of the population is even", "sexual health is taught at school", "breast feeding is recommended", "breast cancer is treated at the hospital",
+    "a bitch is a female dog", "a cock is a male bird", "the great tit is a small bird", "the donkey, also called ass", "the bastard sword is a weapon", "rape seed oil", "the penis of the male is short", "female genitalia are described by the anatomist",
+    "the film contains scenes of nudity", "the article discusses pornography law", "naked eye", "the court found him guilty of murder", "the rapist was sentenced to prison", "he was shot in the war", "the murder victims were buried", "the poem describes hell",
+    "pest control of rats and cockroaches", "a parasite of sheep", "vermin were controlled with traps", "animals are kept in the zoo", "trash is collected on monday", "the disease killed many cattle", "he died slowly of his wounds", "she died alone in 1832",
+    "hate crimes are recorded by the police", "racism was studied by sociologists", "women were allowed to vote from 1919", "the temple was torn down and rebuilt", "people were driven out by the flood", "a useless patent", "the ugly duckling is a tale", "fat and protein content", "the dog is a filthy animal in the fable",
+    "test test test", "i was here", "hello world", "my friend is cool", "this page is boring", "blah blah blah", "qwerty qwerty",
+    "men and women worked in the factory", "jews and christians lived in the quarter", "the muslim community built a mosque", "gay rights were debated in parliament", "immigrants from the south settled here", "black and white photographs", "the disabled were cared for in the hospital",
+    "the {n} people speak their own language", "the {n} are a people of the north", "{n} was a writer", "{n} was born in the city", "this is only a stub", "a council of the town", "she was the daughter of a farmer", "they are found on the coast", "you can see the castle from the road", "the town is run by a mayor",
+    "das wort wird als schimpfwort gebraucht", "ist ein dorf im kreis", "die bewohner sind bauern und fischer", "der hund und das schwein", "le mot est une insulte ancienne", "est un village de la commune", "les maisons sont de la pierre du pays", "le chien est un animal",
+    "es un municipio de la provincia", "un puente de los romanos", "los habitantes son de la comarca", "la rata negra es un roedor", "это большой город на реке", "крыса серая вид грызунов", "население города", "الكلب حيوان أليف", "عدد السكان", "犬は動物である", "馬と鹿の図", "町の人口",
 ]
 
 #: Terms that name groups; swapped for one another when scores are compared.
