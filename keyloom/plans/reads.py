@@ -10,7 +10,7 @@ from keyloom.expr.compile import Compiler, Document, Typed, canonical_document,
 from keyloom.functions.numbers import canonical_number, number_size, number_sort_key
 from keyloom.functions.sizes import item_size, read_units
 from keyloom.model import IndexDef, TableDef
-from keyloom.operators import reads
+from keyloom.operators import ranking, reads
 from keyloom.operators.reads import Request
 from keyloom.session import load
 from keyloom.statements import Session
@@ -333,13 +333,20 @@ def number_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n", F.rtrim(canonical_number(spelled), F.lit("0")).alias("digits_text"), number_size(spelled).alias("stored"))
 
 
+def _places(orders: DataFrame) -> DataFrame:
+    return ranking.with_rank(orders.select("o_orderkey", "o_totalprice"), number_sort_key(F.col("o_totalprice").cast("string")), "place").select("o_orderkey", "place")
+
+
 @query("select o_orderkey, rank() over (order by o_totalprice) as place from orders where o_custkey <= 50")
 def number_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks by the order-preserving text are ranks by the number."""
-    from pyspark.sql import Window
+    """Ranks by the order-preserving text are ranks by the number: the orders that the twin names."""
+    return _places(load(spark, sf_dir, "orders").where("o_custkey <= 50"))
+
 
-    o = load(spark, sf_dir, "orders").where("o_custkey <= 50")
-    return o.select("o_orderkey", F.rank().over(Window.orderBy(number_sort_key(F.col("o_totalprice").cast("string")))).cast("bigint").alias("place"))
+@query("select o_orderkey, rank() over (order by o_totalprice) as place from orders")
+def number_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the whole table."""
+    return _places(load(spark, sf_dir, "orders"))
 
 
 # --- aggregates: sizes and capacity

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keyloom.expr.compile import plain_number
 from keyloom.functions.numbers import canonical_number, is_number, number_size, number_sort_key, sort_key_text
 from keyloom.functions.sizes import item_size, native_number_size
+from keyloom.operators.ranking import with_rank
 
 
 def texts():
@@ -52,3 +53,23 @@ def test_item_size(spark):
     df = spark.createDataFrame([("é", [1, 20], {"k": "v"}, b"abc", True, None)], "s string, l array<int>, m map<string,string>, b binary, t boolean, gone string")
     # names 5, s 2, l 3+2+2+2, m 3+1+1+1, b 3, t 1
     assert df.select(item_size(df.schema).alias("n")).first().n == 5 + 2 + 9 + 6 + 3 + 1
+
+
+def test_ranks_of_a_whole_table(spark):
+    rng = random.Random(5)
+    values = [None, None] + [rng.choice(["7", "7.0", "-3", "1e3", str(rng.randint(-400, 400))]) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, n string").repartition(7)
+    ranked = with_rank(df, number_sort_key(F.col("n")), "place")
+    plain = sorted(Decimal(v) for v in values if v is not None)
+    first = {v: i for i, v in reversed(list(enumerate(plain)))}
+    want = {i: 1 if v is None else 3 + first[Decimal(v)] for i, v in enumerate(values)}
+    assert {r.id: r.place for r in ranked.collect()} == want and ranked.columns == ["id", "n", "place"]
+    assert with_rank(df.limit(0), F.col("n"), "place").count() == 0
+
+
+def test_every_order_gets_a_rank(spark):
+    from keyloom.plans import reads
+
+    sf = "/root/testdata/sf0.001"
+    got = reads.QUERIES["number_order_all"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
