@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -83,16 +84,65 @@ class ShapeAutomaton:
         return self._state(tag, lambda: tag)
 
 
-def _scalars(content: dict) -> list[tuple[str, str]]:
-    """Attributes that aren't maps or lists of the item, as text: bare for S, N and B, JSON for the rest; NULL is left out."""
-    out = []
-    for name, value in content.items():
-        node = tagged(value)
-        if node and node[0] not in ("L", "M", "NULL"):
-            out.append((name, node[1] if isinstance(node[1], str) else dumps(node[1])))
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`" if "." in name or "`" in name else name
+
+
+def _without_maps(elements: list) -> tuple[list, bool]:
+    """The tagged elements of a list with null for its maps, which have rows of their own, and whether anything else is in it."""
+    out, kept = [], False
+    for element in elements:
+        node = tagged(element)
+        if node and node[0] == "M" and isinstance(node[1], dict):
+            out.append(None)
+        elif node and node[0] == "L" and isinstance(node[1], list):
+            inner, some = _without_maps(node[1])
+            out.append({"L": inner})
+            kept |= some
+        else:
+            out.append(element)
+            kept = True
+    return out, kept
+
+
+def _values(content: dict) -> list[tuple[str, str, object]]:
+    """Dotted name, tag and content of every value of an element that no other element's row holds; untagged values have the tag '?'."""
+    out, todo = [], [("", content)]
+    while todo:
+        prefix, attributes = todo.pop()
+        for name, value in attributes.items():
+            at, node = prefix + _quoted(name), tagged(value)
+            if node is None:
+                out.append((at, "?", value))
+            elif node[0] == "M" and isinstance(node[1], dict):
+                todo.append((at + ".", node[1]))
+            elif node[0] == "L" and isinstance(node[1], list):
+                rest, kept = _without_maps(node[1])
+                if kept:
+                    out.append((at, "L", rest))
+            else:
+                out.append((at, *node))
     return out
 
 
+def _text(content: object) -> str:
+    return content if isinstance(content, str) else dumps(content)
+
+
+def _scalars(content: dict) -> list[tuple[str, str]]:
+    """Values of an element as text: bare for S, N and B, JSON for the rest; NULL is left out.
+
+    Maps within it are flattened into dotted names (``shipment.carrier``; a name that itself holds a dot or a backquote is backquoted).
+    A list that holds anything but maps is the JSON of its tagged elements, with null in the place of each map.
+    """
+    return [(name, _text(value)) for name, tag, value in _values(content) if tag != "NULL"]
+
+
+def _pairs(rows: list[list[tuple[str, str]]]) -> pa.Array:
+    offsets = [0, *accumulate(len(row) for row in rows)]
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), strings([k for row in rows for k, _ in row]), strings([v for row in rows for _, v in row]))
+
+
 def _reader(want_scalars: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = ShapeAutomaton(want_scalars)
@@ -103,8 +153,7 @@ def _reader(want_scalars: bool):
             def flush() -> pa.RecordBatch:
                 columns = [strings(out[0]), pa.array(out[1], pa.int64()), strings(out[2]), strings(out[3])]
                 if want_scalars:
-                    pairs = pa.array([[(str(k), str(v)) for k, v in m] for m in out[7]], pa.map_(pa.string(), pa.string()))
-                    columns += [strings(out[4]), strings(out[5]), strings(out[6]), pairs]
+                    columns += [strings(out[4]), strings(out[5]), strings(out[6]), _pairs(out[7])]
                     names = ["source_field", "record_id", "child_path", "parent_path", "kind", "variant", "shape", "scalars"]
                 else:
                     columns += [strings(out[4])]
@@ -160,7 +209,9 @@ def element_rows(docs: DataFrame, scalars: bool = False) -> DataFrame:
 
     ``docs``: ``source_field``, ``record_id``, ``text``. Documents that are null, empty, damaged or not objects give no rows. Paths count
     list positions over all elements from 0; ``parent_path`` is '' under the item itself. Of an attribute named
-    twice in one object the last counts. With ``scalars`` also the kind, the shape of the variant and the scalar attributes.
+    twice in one object the last counts. With ``scalars`` also the kind, the shape of the variant and all values of the element but
+    those of the elements below it: maps that aren't elements are flattened into dotted names, lists of scalars kept as JSON (``_scalars``).
+    Values of the item outside any list of maps are in no row; they stay in the item.
     Record ids may repeat or be null; each row keeps its own.
     """
     small = docs.where(may_hold_list_of_maps(F.col("text"))).select("source_field", "record_id", "text")
@@ -173,7 +224,7 @@ def variants(rows: DataFrame) -> DataFrame:
 
 
 def subtype(rows: DataFrame, kind: str, **columns: str) -> DataFrame:
-    """The table of one kind: the supertype's keys, the variant, and ``columns`` (attribute name to SQL type).
+    """The table of one kind: the supertype's keys, the variant, and ``columns`` (attribute name, dotted within maps, to SQL type).
 
     Variants lacking an attribute, and values that don't fit the type, give null.
     """

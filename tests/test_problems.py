@@ -140,6 +140,22 @@ def test_equal_shapes_are_one_variant(spark):
     assert nested.element_rows(df.limit(0)).count() == 0
 
 
+def test_no_value_of_an_element_is_lost(spark):
+    element = {
+        "ship": {"M": {"carrier": {"S": "c"}, "to": {"M": {"zip": {"N": "7"}, "gone": {"NULL": True}}}, "stops": {"L": [{"M": {"hub": {"S": "h"}}}]}}},
+        "a.b": {"S": "own"}, "a": {"M": {"b": {"S": "inner"}}}, "tags": {"L": [{"S": "x"}, {"M": {"in": {"S": "row"}}}, {"L": [{"N": "1.0"}]}]},
+        "set": {"SS": ["p", "q"]}, "maps": {"L": [{"M": {}}]}, "odd": {"x": 1, "y": 2}, "half": {"S": "\ud800"},
+    }
+    df = spark.createDataFrame([("f", 1, json.dumps({"l": {"L": [{"M": element}]}}))], "source_field string, record_id bigint, text string")
+    rows = nested.element_rows(df, scalars=True)
+    got = {r.child_path: r.scalars for r in rows.collect()}
+    assert got["l[0]"] == {
+        "ship.carrier": "c", "ship.to.zip": "7", "`a.b`": "own", "a.b": "inner", "tags": '[{"S":"x"},null,{"L":[{"N":"1.0"}]}]', "set": '["p","q"]', "odd": '{"x":1,"y":2}', "half": "\ufffd",
+    }
+    assert got["l[0].ship.stops[0]"] == {"hub": "h"} and got["l[0].tags[1]"] == {"in": "row"} and got["l[0].maps[0]"] == {} and len(got) == 4
+    assert nested.subtype(rows, "l[]", **{"ship.to.zip": "int"}).first()["ship.to.zip"] == 7
+
+
 # --- change feeds
 CHANGES = "id bigint, table_name string, event_name string, keys_json string, sequence_number string, created_at bigint, pk string"
 CATALOG = "table_name string, key_schema string"
