@@ -6,12 +6,15 @@ equal shapes reach equal states wherever they stand, in any file, whatever the o
 id is a hash of its transition and needs no shared table. A map that is an element of a list becomes a row; its state is its
 *variant*, the attribute path down to it (indices left out) its *kind*. Every variant shares the supertype's keys
 (``source_field``, ``record_id``, ``child_path``, ``parent_path``), by which children join their parents; ``subtype``
-gives a kind's variants as one typed table.
+gives a kind's variants as one typed table with columns chosen by hand. ``kind_columns`` derives the columns and types of every kind from
+what its variants hold, ``subtypes`` makes every kind's table of them, ``all_subtypes`` all of these in one pass.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from decimal import Decimal, DecimalException
 from hashlib import blake2b
 from itertools import accumulate
 
@@ -25,8 +28,11 @@ from keyloom.functions.tagged import dumps, parse_object, strings, tagged
 KNOWN_STATES = 200_000
 
 ROWS = "source_field string, record_id bigint, child_path string, parent_path string, kind string, variant string, shape string, scalars map<string,string>"
+FOUND = "kind string, name string, type string, whole int, scale int"
 LINKS = "source_field string, record_id bigint, child_path string, parent_path string, variant string"
 
+_NUMBER = re.compile(r"[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+
 
 class ShapeAutomaton:
     """States of tagged trees, bottom-up; ``elements`` gets every map that is an element of a list."""
@@ -230,3 +236,142 @@ def subtype(rows: DataFrame, kind: str, **columns: str) -> DataFrame:
     """
     typed = [F.try_element_at("scalars", F.lit(name)).try_cast(of).alias(name) for name, of in columns.items()]
     return rows.where(F.col("kind") == kind).select("source_field", "record_id", "child_path", "parent_path", "variant", *typed)
+
+
+def _width(text: object) -> tuple[int, int] | None:
+    """Digits of a number before and after the point; None for what no decimal holds."""
+    if not isinstance(text, str) or not _NUMBER.fullmatch(text):
+        return None
+    if len(text) <= 18 and text.isdigit():
+        return len(text), 0
+    try:
+        digits, power = Decimal(text).as_tuple()[1:]
+    except DecimalException:
+        return None
+    if not isinstance(power, int):
+        return None
+    bare = "".join(map(str, digits)).lstrip("0")
+    shown = bare.rstrip("0")
+    power += len(bare) - len(shown)
+    whole, scale = (max(1, len(shown) + power), max(0, -power)) if shown else (1, 0)
+    return (whole, scale) if whole + scale <= 38 else None
+
+
+def _type(tag: str, content: object) -> str:
+    """What a value asks of its column; numbers are judged by ``_width``. A value its tag's type can't hold asks for text."""
+    if tag == "NULL":
+        return "void"
+    if tag == "BOOL" and isinstance(content, bool):
+        return "boolean"
+    if tag in ("SS", "NS", "BS") and isinstance(content, list) and all(isinstance(x, str) for x in content):
+        return "array<string>"
+    return "string"
+
+
+def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    automaton = ShapeAutomaton(True)
+    found: dict[tuple[str, str | None, str], tuple[int, int]] = {}
+
+    def flush() -> pa.RecordBatch:
+        keys, widths = list(found), list(found.values())
+        found.clear()
+        texts = [strings([key[i] for key in keys]) for i in range(3)]
+        sizes = [pa.array([w[i] for w in widths], pa.int32()) for i in range(2)]
+        return pa.RecordBatch.from_arrays(texts + sizes, names=["kind", "name", "type", "whole", "scale"])
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            item = parse_object(text)
+            if item is None:
+                continue
+            try:
+                rows = automaton.read(item)
+            except RecursionError:
+                continue
+            for _, _, kind, _, _, content in rows:
+                found[kind, None, "void"] = (0, 0)
+                for name, tag, value in _values(content):
+                    width = _width(value) if tag == "N" else None
+                    key = (kind, name, "number" if width else _type(tag, value))
+                    had = found.get(key)
+                    if had is None or width and (width[0] > had[0] or width[1] > had[1]):
+                        found[key] = (max(width[0], had[0]), max(width[1], had[1])) if width and had else width or (0, 0)
+        if len(found) >= KNOWN_STATES:
+            yield flush()
+    if found:
+        yield flush()
+
+
+def kind_columns(docs: DataFrame) -> dict[str, dict[str, str]]:
+    """Kinds with the columns of their tables: dotted name to the narrowest SQL type that holds every value of every variant.
+
+    Numbers are bigint, decimal, or text where 38 digits don't hold them all; sets are arrays of text; lists and mixtures are text.
+    A column that is NULL in all variants is text. Reads all documents once; only the columns found come to the driver.
+    """
+    found = docs.where(may_hold_list_of_maps(F.col("text"))).select("text").mapInArrow(_finder, FOUND)
+    merged = found.groupBy("kind", "name").agg(F.collect_set("type").alias("types"), F.max("whole").alias("whole"), F.max("scale").alias("scale"))
+    kinds: dict[str, dict[str, str]] = {}
+    for r in sorted(merged.collect(), key=lambda r: (r.kind, r.name or "")):
+        columns = kinds.setdefault(r.kind, {})
+        if r.name is None:
+            continue
+        types = set(r.types) - {"void"}
+        if types == {"number"}:
+            whole, scale = r.whole, r.scale
+            columns[r.name] = "bigint" if not scale and whole <= 18 else f"decimal({whole + scale},{scale})" if whole + scale <= 38 else "string"
+        else:
+            columns[r.name] = types.pop() if len(types) == 1 else "string"
+    return kinds
+
+
+def _labels(names: list[str], taken: tuple[str, ...] = ()) -> dict[str, str]:
+    """A column label per name, apart from ``taken`` and from each other even where case doesn't count."""
+    used, out = {t.lower() for t in taken}, {}
+    for name in sorted(names):
+        label, n = name, 1
+        while label.lower() in used:
+            n += 1
+            label = f"{name}_{n}"
+        used.add(label.lower())
+        out[name] = label
+    return out
+
+
+def _typed(name: str, of: str) -> Column:
+    text = F.try_element_at("scalars", F.lit(name))
+    if of == "string":
+        return text
+    if of.startswith("array"):
+        return F.from_json(text, of)
+    return text.try_cast("decimal(38,0)").try_cast("bigint") if of == "bigint" else text.try_cast(of)
+
+
+_KEYS = ("source_field", "record_id", "child_path", "parent_path", "variant")
+
+
+def subtypes(docs: DataFrame, kinds: dict[str, dict[str, str]] | None = None) -> dict[str, DataFrame]:
+    """The flat table of every kind: the supertype's keys, the variant, and the typed columns of ``kind_columns``.
+
+    A column named like a key, or like another but for case, gets a number behind its name.
+    """
+    kinds = kind_columns(docs) if kinds is None else kinds
+    rows, out = element_rows(docs, scalars=True), {}
+    for kind, columns in kinds.items():
+        labels = _labels(list(columns), _KEYS)
+        out[kind] = rows.where(F.col("kind") == kind).select(*_KEYS, *(_typed(name, of).alias(labels[name]) for name, of in columns.items()))
+    return out
+
+
+def all_subtypes(docs: DataFrame, kinds: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """The tables of all kinds in one pass: keys, variant, kind, and per kind a struct of its typed columns, null in rows of other kinds.
+
+    Kinds without a value of their own have rows but no struct. The schema grows with the kinds the data hold.
+    """
+    kinds = kind_columns(docs) if kinds is None else kinds
+    labels, structs = _labels(list(kinds)), []
+    for kind, columns in kinds.items():
+        if columns:
+            inner = _labels(list(columns))
+            fields = F.struct(*(_typed(name, of).alias(inner[name]) for name, of in columns.items()))
+            structs.append(F.when(F.col("kind") == kind, fields).alias(labels[kind]))
+    return element_rows(docs, scalars=True).select(*_KEYS, "kind", *structs)

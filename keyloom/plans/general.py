@@ -52,6 +52,11 @@ def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.subtype(nested.element_rows(_documents(spark, sf_dir), scalars=True), "lines[]", sku="string", qty="bigint").drop("variant")
 
 
+def p3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed tables of all kinds, columns and types derived from the data: a row per element, a struct per kind."""
+    return nested.all_subtypes(_documents(spark, sf_dir))
+
+
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changefeed.read_changes(load(spark, sf_dir, "stream_records"), load(spark, sf_dir, "table_catalog"))
 
@@ -86,7 +91,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_key_totals, p1_key_load, p2_found, p2_table, p3_found, p3_variants, p3_lines, p4_found, p4_distinct_changes, p5_found, p5_report)
+    for f in (p1_found, p1_key_totals, p1_key_load, p2_found, p2_table, p3_found, p3_variants, p3_lines, p3_tables, p4_found, p4_distinct_changes, p5_found, p5_report)
 }
 
 _CHANGES = """

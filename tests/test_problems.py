@@ -156,6 +156,43 @@ def test_no_value_of_an_element_is_lost(spark):
     assert nested.subtype(rows, "l[]", **{"ship.to.zip": "int"}).first()["ship.to.zip"] == 7
 
 
+def test_every_kind_gets_its_typed_table(spark):
+    docs = [
+        {"l": {"L": [{"M": {"n": {"N": "5"}, "p": {"N": "7.50"}, "wide": {"N": "1E-130"}, "mix": {"S": "x"}, "ok": {"BOOL": True}, "set": {"NS": ["1"]}, "variant": {"S": "v"}, "nil": {"NULL": True}}}]}},
+        {"l": {"L": [{"M": {"n": {"N": "-1.0e2"}, "p": {"N": "123"}, "wide": {"N": "9E125"}, "mix": {"N": "1"}, "N": {"S": "case"}, "kids": {"L": [{"M": {"m": {"M": {"deep": {"N": "1" * 20}}}}}, {"M": {}}]}}}]}},
+        {"only": {"L": [{"M": {}}, {"L": [{"M": {"b": {"BOOL": "yes"}}}]}]}},
+    ]
+    df = spark.createDataFrame([("f", i, json.dumps(d)) for i, d in enumerate(docs)], "source_field string, record_id bigint, text string")
+    kinds = nested.kind_columns(df)
+    assert set(kinds) == {"l[]", "l[].kids[]", "only[]", "only[][]"}
+    assert kinds["l[]"] == {"n": "bigint", "p": "decimal(4,1)", "wide": "string", "mix": "string", "ok": "boolean", "set": "array<string>", "variant": "string", "nil": "string", "N": "string"}
+    assert kinds["l[].kids[]"] == {"m.deep": "decimal(20,0)"} and kinds["only[]"] == {} and kinds["only[][]"] == {"b": "string"}
+    tables = nested.subtypes(df)
+    first, second = tables["l[]"].orderBy("record_id").collect()
+    assert (first["n_2"], str(first["p"]), first["wide"], first["mix"], first["ok"], first["set"], first["variant_2"], first["nil"]) == (5, "7.5", "1E-130", "x", True, ["1"], "v", None)
+    assert (second["n_2"], str(second["p"]), second["mix"], second["N"]) == (-100, "123.0", "1", "case") and first["variant"] != second["variant"]
+    assert tables["only[]"].count() == 1 and tables["only[][]"].first()["b"] == "yes"
+    everything = nested.all_subtypes(df).collect()
+    assert Counter((r.record_id, r.child_path, r.parent_path) for r in everything) == Counter((i, p, q) for i, d in enumerate(docs) for p, q in brute_elements(d))
+    assert {r.child_path: str(r["l[].kids[]"]["m.deep"]) for r in everything if r.kind == "l[].kids[]"} == {"l[0].kids[0]": "1" * 20, "l[0].kids[1]": "None"}
+    assert all((r["l[]"] is None) == (r.kind != "l[]") for r in everything)
+    assert nested.all_subtypes(df.limit(0)).count() == 0
+
+
+def test_typed_tables_hold_every_value_of_the_data(spark):
+    from keyloom.plans import general
+
+    docs = general._documents(spark, "/root/testdata/sf0.001")
+    kinds = nested.kind_columns(docs)
+    assert len(kinds) > 20
+    want = nested.element_rows(docs, scalars=True).groupBy("kind").agg(F.sum(F.size("scalars")).alias("n")).collect()
+    tables = nested.subtypes(docs, kinds)
+    for r in want:
+        values = tables[r.kind].columns[5:]
+        got = tables[r.kind].select(F.sum(sum((F.col(f"`{c.replace('`', '``')}`").isNotNull().cast("int") for c in values), F.lit(0)))).first()[0]
+        assert got == r.n, r.kind
+
+
 # --- change feeds
 CHANGES = "id bigint, table_name string, event_name string, keys_json string, sequence_number string, created_at bigint, pk string"
 CATALOG = "table_name string, key_schema string"
