@@ -103,21 +103,27 @@ def promote(ingested: DataFrame, **approved: str) -> DataFrame:
 
 def _paths(item: dict, prefix: str, into: dict[str, list]) -> None:
     """Per path its types as bits, then its values."""
-    for name, value in item.items():
-        path, bit, inner = prefix + name, 0, None
-        if type(value) is dict and len(value) == 1:
-            (tag, content), = value.items()
-            bit = TAG_BITS.get(tag, 0)
-            if tag == "M" and type(content) is dict:
-                inner = content
-        entry = into.get(path)
-        if entry is None:
-            into[path] = [bit, value]
+    todo = [(prefix, iter(item.items()))]
+    while todo:
+        prefix, attributes = todo[-1]
+        for name, value in attributes:
+            path, bit, inner = prefix + name, 0, None
+            if type(value) is dict and len(value) == 1:
+                (tag, content), = value.items()
+                bit = TAG_BITS.get(tag, 0)
+                if tag == "M" and type(content) is dict:
+                    inner = content
+            entry = into.get(path)
+            if entry is None:
+                into[path] = [bit, value]
+            else:
+                entry[0] |= bit
+                entry.append(value)
+            if inner:
+                todo.append((path + ".", iter(inner.items())))
+                break
         else:
-            entry[0] |= bit
-            entry.append(value)
-        if inner is not None:
-            _paths(inner, path + ".", into)
+            todo.pop()
 
 
 def _count_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

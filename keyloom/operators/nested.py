@@ -56,14 +56,53 @@ class ShapeAutomaton:
     def read(self, item: dict) -> list[tuple[str, str, str, str, str, list]]:
         """Rows of one item: (path, parent path, kind, variant, shape, scalar pairs), parents before children."""
         rows: list = []
-        for name, value in item.items():
-            self._node(value, name, name, "", rows)
+        try:
+            for name, value in item.items():
+                self._node(value, name, name, "", rows)
+        except RecursionError:
+            rows.clear()
+            for name, value in item.items():
+                self._deep(value, name, rows)
         rows.reverse()
         return rows
 
+    def _deep(self, value: object, name: str, rows: list) -> None:
+        """``_node`` of nesting beyond Python's recursion limit: the same walk on a stack of its own."""
+        state, todo = "", [self._steps(value, name, name, "", rows)]
+        while todo:
+            try:
+                todo.append(todo[-1].send(state or None))
+                state = ""
+            except StopIteration as done:
+                todo.pop()
+                state = done.value
+
+    def _steps(self, value: object, path: str, kind: str, parent: str, rows: list):
+        """Asks for the states of the children by yielding their steps; the order of the rows is that of ``_node``."""
+        node = tagged(value)
+        if node and node[0] == "M" and isinstance(node[1], dict):
+            pairs = []
+            for name, child in node[1].items():
+                pairs.append((name, (yield self._steps(child, path + "." + name, kind + "." + name, parent, rows))))
+            return self._map_state(pairs)
+        if node and node[0] == "L" and isinstance(node[1], list):
+            states = set()
+            for i, element in enumerate(node[1]):
+                at, inner = f"{path}[{i}]", tagged(element)
+                own = bool(inner and inner[0] == "M" and isinstance(inner[1], dict))
+                state = yield self._steps(element, at, kind + "[]", at if own else parent, rows)
+                if own:
+                    rows.append((at, parent, kind + "[]", state, self.shapes.get(state, ""), inner[1] if self.want_scalars else None))
+                states.add(state)
+            return self._list_state(states)
+        return self._node(value, path, kind, parent, rows)
+
     def _map(self, content: dict, path: str, kind: str, parent: str, rows: list) -> str:
         prefix, kinds = (path + ".", kind + ".") if path else ("", "")
         pairs = [(name, self._node(value, prefix + name, kinds + name, parent, rows)) for name, value in content.items()]
+        return self._map_state(pairs)
+
+    def _map_state(self, pairs: list) -> str:
         pairs.sort()
         return self._state(("M", tuple(pairs)), lambda: "{" + ",".join(f"{n}:{self.shapes.get(s, s)}" for n, s in pairs) + "}")
 
@@ -85,10 +124,13 @@ class ShapeAutomaton:
                 else:
                     state = self._node(element, at, kind + "[]", parent, rows)
                 states.add(state)
-            ordered = tuple(sorted(states))
-            return self._state(("L", ordered), lambda: "[" + "|".join(self.shapes.get(s, s) for s in ordered) + "]")
+            return self._list_state(states)
         return self._state(tag, lambda: tag)
 
+    def _list_state(self, states: set) -> str:
+        ordered = tuple(sorted(states))
+        return self._state(("L", ordered), lambda: "[" + "|".join(self.shapes.get(s, s) for s in ordered) + "]")
+
 
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`" if "." in name or "`" in name else name
@@ -96,19 +138,22 @@ def _quoted(name: str) -> str:
 
 def _without_maps(elements: list) -> tuple[list, bool]:
     """The tagged elements of a list with null for its maps, which have rows of their own, and whether anything else is in it."""
-    out, kept = [], False
-    for element in elements:
-        node = tagged(element)
-        if node and node[0] == "M" and isinstance(node[1], dict):
-            out.append(None)
-        elif node and node[0] == "L" and isinstance(node[1], list):
-            inner, some = _without_maps(node[1])
-            out.append({"L": inner})
-            kept |= some
-        else:
-            out.append(element)
-            kept = True
-    return out, kept
+    top: list = []
+    kept, todo = False, [(elements, top)]
+    while todo:
+        source, out = todo.pop()
+        for element in source:
+            node = tagged(element)
+            if node and node[0] == "M" and isinstance(node[1], dict):
+                out.append(None)
+            elif node and node[0] == "L" and isinstance(node[1], list):
+                inner: list = []
+                out.append({"L": inner})
+                todo.append((node[1], inner))
+            else:
+                out.append(element)
+                kept = True
+    return top, kept
 
 
 def _values(content: dict) -> list[tuple[str, str, object]]:
@@ -172,11 +217,7 @@ def _reader(want_scalars: bool):
                 item = parse_object(text)
                 if item is None:
                     continue
-                try:
-                    found = automaton.read(item)
-                except RecursionError:
-                    continue
-                for path, parent, kind, variant, shape, content in found:
+                for path, parent, kind, variant, shape, content in automaton.read(item):
                     out[0].append(field)
                     out[1].append(record)
                     out[2].append(path)
@@ -213,7 +254,7 @@ def documents(df: DataFrame, record_id: str, *sources: tuple[str, str]) -> DataF
 def element_rows(docs: DataFrame, scalars: bool = False) -> DataFrame:
     """Every map that is an element of a list, at any depth, of every document that parses.
 
-    ``docs``: ``source_field``, ``record_id``, ``text``. Documents that are null, empty, damaged or not objects give no rows. Paths count
+    ``docs``: ``source_field``, ``record_id``, ``text``. Documents that are null, empty, damaged, not objects or nested beyond the JSON parser give no rows. Paths count
     list positions over all elements from 0; ``parent_path`` is '' under the item itself. Of an attribute named
     twice in one object the last counts. With ``scalars`` also the kind, the shape of the variant and all values of the element but
     those of the elements below it: maps that aren't elements are flattened into dotted names, lists of scalars kept as JSON (``_scalars``).
@@ -284,11 +325,7 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             item = parse_object(text)
             if item is None:
                 continue
-            try:
-                rows = automaton.read(item)
-            except RecursionError:
-                continue
-            for _, _, kind, _, _, content in rows:
+            for _, _, kind, _, _, content in automaton.read(item):
                 found[kind, None, "void"] = (0, 0)
                 for name, tag, value in _values(content):
                     width = _width(value) if tag == "N" else None

@@ -193,6 +193,35 @@ def test_typed_tables_hold_every_value_of_the_data(spark):
         assert got == r.n, r.kind
 
 
+def test_depth_beyond_the_recursion_limit(spark):
+    path, wants = "", []
+    for _ in range(700):
+        wants.append((path + ".l[0]" if path else "l[0]", path))
+        path = wants[-1][0]
+    nest = '{"L":[' * 1500 + '{"S":"x"}' + "]}" * 1500
+    text = '{"pk":{"S":"1"},"l":{"L":[' + '{"M":{"l":{"L":[' * 699 + '{"M":{"z":{"N":"1"}}}' + "]}}}" * 699 + "]}}"
+    df = spark.createDataFrame([("f", 1, text), ("f", 2, '{"m":{"L":[{"M":{"n":' + nest + "}}]}}")], "source_field string, record_id bigint, text string")
+    rows = nested.element_rows(df, scalars=True).collect()
+    assert [(r.child_path, r.parent_path) for r in rows if r.record_id == 1] == wants
+    assert [(r.child_path, r.scalars["n"].count("[")) for r in rows if r.record_id == 2] == [("m[0]", 1500)]
+    assert nested.element_rows(df).count() == 701
+    maps = json.loads('{"pk":{"S":"x"},"m":' + '{"M":{"m":' * 1200 + '{"N":"1"}' + "}}" * 1200 + "}")
+    paths: dict = {}
+    drift._paths(maps, "", paths)
+    assert len(paths) == 1202
+
+
+def test_deep_walk_equals_the_plain_one():
+    rng = random.Random(8)
+    for _ in range(200):
+        item = {k: random_value(rng) for k in "abc"}
+        deep: list = []
+        plain, other = nested.ShapeAutomaton(True), nested.ShapeAutomaton(True)
+        for name, value in item.items():
+            other._deep(value, name, deep)
+        assert deep[::-1] == plain.read(item)
+
+
 # --- change feeds
 CHANGES = "id bigint, table_name string, event_name string, keys_json string, sequence_number string, created_at bigint, pk string"
 CATALOG = "table_name string, key_schema string"
