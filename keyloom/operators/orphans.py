@@ -2,7 +2,8 @@
 
 References and parents are folded to one row per key in a single shuffle: the months a key is referenced in, the
 moment its parent arrives, whether it has one at all. The rows of a shuffle partition are numbered, which
-makes the row's place its dictionary code; every 65,536 codes are a key range. Per range and month a compressed
+makes the row's place its dictionary code; the codes of one Arrow batch (10,000 rows unless the
+session says otherwise, cut beyond 65,536) are a key range. Per range and month a compressed
 bitmap (sorted codes while sparse, packed bits otherwise) holds the referenced keys, another the keys whose parent was
 there before the month began; reference AND-NOT parent leaves the suspects, whose bits are decoded to keys where the
 dictionary still is in memory. Only suspects meet the references again, where the exact moments decide.
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys of one range: codes of a range fit 16 bits.
+#: Keys of one range at most, so that codes fit 16 bits; a range ends with its Arrow batch, so it mostly has fewer.
 RANGE = 1 << 16
 #: A set of more codes than this is smaller as packed bits.
 SPARSE = 1 << 12
