@@ -27,7 +27,7 @@ from keyloom.session import materialize
 #: Words of a window, and of the short window that keeps a brief passage from drowning in its neighbours.
 WINDOW, SHORT = 10, 5
 
-#: Reviewed documents the trainer uses at most, and the longest of them; the only bounds, and only on the labelled sample.
+#: Reviewed documents the trainer uses at most, and the longest of them; scoring has no such bounds. Further bounds of training: ``NEUTRAL_WINDOWS``, ``WORDS``, ``HARD_OF_ONE``.
 LABELLED, LABELLED_CHARS = 3000, 100_000
 #: Words the trainer knows at most beyond those of the seeds, and the documents a word must be in.
 WORDS, WORD_DOCS = 20_000, 3
