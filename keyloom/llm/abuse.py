@@ -10,8 +10,10 @@ the two scores is part of the loss: neutral mention of a group must not count, w
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,22 +26,26 @@ from keyloom.llm.abuse_seeds import ABUSIVE, HARMLESS, IDENTITY_TERMS, INSULTS,
 from keyloom.llm.mixing import source_key
 from keyloom.session import materialize
 
-#: Words of a window, and of the short window that keeps a brief passage from drowning in its neighbours.
-WINDOW, SHORT = 10, 5
+#: Words of a window; short ones keep a brief passage from drowning in its neighbours.
+WIDTHS = (10, 5, 3)
 
-#: Reviewed documents the trainer uses at most, and the longest of them; scoring has no such bounds. Further bounds of training: ``NEUTRAL_WINDOWS``, ``WORDS``, ``HARD_OF_ONE``.
-LABELLED, LABELLED_CHARS = 3000, 100_000
+#: Reviewed documents of either verdict the trainer uses at most, and the longest of them; scoring has no such bounds. Further bounds of training: ``NEUTRAL_WINDOWS``, ``WORDS``, ``HARD_OF_ONE``.
+LABELLED, LABELLED_CHARS = 4000, 100_000
 #: Words the trainer knows at most beyond those of the seeds, and the documents a word must be in.
-WORDS, WORD_DOCS = 20_000, 3
-#: Windows of reviewed neutral documents the trainer uses.
-NEUTRAL_WINDOWS = 25_000
-#: Beyond ``LEARN`` the worst window of a document reviewed as abusive is learned.
-LEARN = -1.0
-#: Beyond ``NEAR`` a window of a reviewed neutral document is worth learning, beyond ``WRONG`` its review isn't believed; so many of one document.
-NEAR, WRONG, HARD_OF_ONE = -1.2, 3.0, 12
+WORDS, WORD_DOCS = 20_000, 2
+#: Windows of reviewed neutral documents the trainer starts with, and how many of one document it adds in each round, the highest scoring ones.
+NEUTRAL_WINDOWS, HARD_OF_ONE = 20_000, 8
+#: Beyond ``NEAR`` a window of a neutral document is added; beyond ``WRONG`` a document's neutral review isn't believed; beyond ``LEARN`` an abusive review is.
+NEAR, WRONG, LEARN = -1.2, 3.0, -1.0
+#: Parts the reviews are dealt into, and rounds of dealing; the share of neutral documents with less evidence than an abusive one needs at first.
+FOLDS, ROUNDS, EVIDENCE = 3, 3, 0.95
+#: Weight of a window learned from an abusive document; windows that make a word telling.
+FOUND_WEIGHT, TELLING = 1.5, 3
 
 #: Score of a window of unknown words: without evidence a text is neutral, however few reviews there are.
 BIAS = -2.0
+#: Least weights and ridge of words, and of pairs and triples; weight of the counterfactual penalty and twins of a window.
+FLOORS, RIDGES, FAIRNESS, TWINS = (-0.25, -0.8), (0.05, 0.15), 1.0, 2
 
 #: A worker's memory of spellings is emptied beyond this.
 KNOWN_SPELLINGS = 500_000
@@ -150,15 +156,17 @@ def _seed_reader() -> Reader:
 
 
 class Model:
-    """Word and word-pair weights; picklable, sent to the workers with the task."""
+    """Weights of words, pairs and triples of words; picklable, sent to the workers with the task."""
 
-    def __init__(self, reader: Reader, ids: dict[str, int]) -> None:
+    def __init__(self, reader: Reader, ids: dict[str, int], names: np.ndarray) -> None:
         self.reader, self.ids, self.size = reader, ids, len(ids) + 1
-        self.single = np.zeros(self.size)
-        self.pair_keys, self.pair_weights, self.bias = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
-        self._forget()
+        #: What a word is in pairs and triples: itself, or 0 (like unknown words) if it is a name.
+        self.kind = np.where(names, 0, np.arange(self.size))
+        self.single, self.keys, self.weights = np.zeros(self.size), np.zeros(0, dtype=np.int64), np.zeros(0)
+        self.bias = BIAS
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self._code: dict[str, int] = {}
         self._start, self._length, self._flat = [], [], []
 
@@ -168,7 +176,7 @@ class Model:
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word ids (0: unknown) of all texts and the offsets of the texts in them."""
         if len(self._code) > KNOWN_SPELLINGS:
-            self._forget()
+            self.forget()
         raw: list[str] = []
         counts = np.empty(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
@@ -189,26 +197,42 @@ class Model:
         ids = np.array(self._flat, dtype=np.int64)[np.arange(total) + at] if total else np.zeros(0, dtype=np.int64)
         return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
-    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Weights of word pairs."""
-        if not len(self.pair_keys):
-            return np.zeros(len(a))
-        key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_weights[at], 0.0)
-
-    def window_scores(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The higher score of the two windows ending at every word."""
-        singles = np.concatenate([[0.0], np.cumsum(self.single[ids])])
-        doubles = np.concatenate([[0.0, 0.0], np.cumsum(self.pairs(ids[:-1], ids[1:]))]) if len(ids) > 1 else np.zeros(len(ids) + 1)
+    def grams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the pair and of the triple that end at every word, -1 where there is none; keys of singles are the ids, below all of these."""
+        kind, size = self.kind[ids], self.size
+        pair, triple = np.full(len(ids), -1), np.full(len(ids), -1)
+        pair[1:] = (kind[:-1] + 1) * size + kind[1:]
+        triple[2:] = size * (size + 1) + pair[1:-1] * size + kind[2:]
+        return pair, triple
+
+    def _weight(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.weights[at], 0.0)
+
+    def learn(self, keys: np.ndarray, weights: np.ndarray) -> None:
+        """Take over the weights of sorted keys."""
+        at = int(np.searchsorted(keys, self.size))
+        self.single = np.zeros(self.size)
+        self.single[keys[:at]] = weights[:at]
+        kept = np.abs(weights[at:]) > 0.02
+        self.keys, self.weights = keys[at:][kept], weights[at:][kept]
+
+    def window_scores(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The highest score of the windows ending at every word, and the width of that window."""
+        pair, triple = self.grams(ids)
+        totals = [np.concatenate([[0.0], np.cumsum(w)]) for w in (self.single[ids], self._weight(pair), self._weight(triple))]
         end = np.arange(len(ids))
         first = np.repeat(offsets[:-1], np.diff(offsets))
-        singles_end, doubles_end = singles[end + 1], doubles[end + 1]
-        sums = []
-        for width in (WINDOW, SHORT):
+        best, width_of = np.full(len(ids), -np.inf), np.zeros(len(ids), dtype=np.int64)
+        for width in WIDTHS:
             start = np.maximum(end - width + 1, first)
-            sums.append(singles_end - singles[start] + doubles_end - doubles[start + 1])
-        return np.maximum(*sums) + self.bias
+            # a pair counts if it begins within the window, so its last word is one further, and so on
+            found = sum(t[end + 1] - t[np.minimum(start + i, end + 1)] for i, t in enumerate(totals))
+            better = found > best
+            best, width_of = np.where(better, found, best), np.where(better, end - start + 1, width_of)
+        return best + self.bias, width_of
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The worst window's score per text; texts without words score the bias alone."""
@@ -216,117 +240,247 @@ class Model:
         out = np.full(len(texts), self.bias)
         full = np.flatnonzero(np.diff(offsets))
         if len(full):
-            out[full] = np.maximum.reduceat(self.window_scores(ids, offsets), offsets[:-1][full])
+            out[full] = np.maximum.reduceat(self.window_scores(ids, offsets)[0], offsets[:-1][full])
         return out
 
 
-def _fit(model: Model, windows: list[tuple[int, ...]], labels: np.ndarray, weights: np.ndarray, identity: np.ndarray, fairness: float = 1.0, ridge: float = 2e-3, steps: int = 160) -> None:
-    """Logistic regression on words and pairs with the counterfactual penalty; full-batch Adam."""
-    rng = np.random.default_rng(7)
-    size, n = model.size, len(windows)
-    sizes = np.array([len(w) for w in windows])
-    flat = np.concatenate([np.array(w, dtype=np.int64) for w in windows])
-    row = np.repeat(np.arange(n), sizes)
-    inner = np.flatnonzero(row[1:] == row[:-1])
-    # the twin of a window: its names and group terms swapped for others, or for an unknown name
-    terms = np.concatenate([np.flatnonzero(identity), [0, 0]])
-    twin = np.where(identity[flat], rng.choice(terms, len(flat)), flat)
-    keys = np.unique(flat[inner] * size + flat[inner + 1])
-    dead = size + len(keys)  # pairs that only twins have carry no weight
-
-    def feature(ids: np.ndarray) -> np.ndarray:
-        pair = ids[inner] * size + ids[inner + 1]
-        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-        return np.concatenate([ids, np.where(keys[at] == pair, size + at, dead)])
-
-    rows = np.concatenate([row, row[inner]])
-    columns, twins = feature(flat), feature(twin)
-    differ = columns != twins
-    d_rows, d_old, d_new = rows[differ], columns[differ], twins[differ]
-    w, bias = np.zeros(dead + 1), BIAS
-    m1, m2 = np.zeros_like(w), np.zeros_like(w)
-    rate, total = 0.15, weights.sum()
-    for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[columns], n) + bias, -30, 30)))
-        g = weights * (p - labels) / total
-        grad = np.bincount(columns, g[rows], len(w)) + ridge * w / 50
-        if len(d_rows):
-            gap = fairness * weights * (np.bincount(d_rows, w[d_old], n) - np.bincount(d_rows, w[d_new], n)) / total
-            grad += np.bincount(d_old, gap[d_rows], len(w)) - np.bincount(d_new, gap[d_rows], len(w))
-        grad[0] = grad[dead] = 0.0  # unknown words carry no weight
-        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
-        w -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8) * min(1.0, 2 * (1 - step / (steps + 1)))
-    model.single, model.pair_keys, model.pair_weights, model.bias = w[:size], keys, w[size:dead], bias
-
-
-def train(labelled: list[tuple[str, int]], rounds: int = 3) -> Model:
+class Trainer:
+    """Fits ``model`` to windows of words; ``identity`` marks the words whose swap must not matter."""
+
+    def __init__(self, model: Model, identity: np.ndarray) -> None:
+        self.model, self.identity = model, identity
+        self.terms = np.concatenate([np.flatnonzero(identity), [0]])
+
+    def features(self, flat: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and keys of all words, pairs and triples of windows laid end to end."""
+        pair, triple = self.model.grams(flat)
+        two, three = np.flatnonzero(row[1:] == row[:-1]) + 1, np.flatnonzero(row[2:] == row[:-2]) + 2
+        return np.concatenate([row, row[two], row[three]]), np.concatenate([flat, pair[two], triple[three]])
+
+    def fit(self, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int = 100) -> None:
+        """Logistic regression with the counterfactual penalty; full-batch Adam. The windows' words lie end to end in ``flat``.
+
+        Only what positive windows hold can carry weight. What speaks for abuse is unbounded, what speaks against
+        it is held above ``FLOORS``, so that no neutral neighbours outweigh a passage.
+        """
+        rng, size, n = np.random.default_rng(7), self.model.size, len(sizes)
+        row = np.repeat(np.arange(n), sizes)
+        rows, keys = self.features(flat, row)
+        known = np.unique(keys[labels[rows] == 1])
+        known = known[known > 0]  # unknown words carry no weight
+        dead = len(known)
+
+        def column(keys: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(known, keys), dead - 1)
+            return np.where(known[at] == keys, at, dead)
+
+        columns = column(keys)
+        gaps = []
+        for _ in range(TWINS):  # the twins of a window: its names and group terms swapped for others, or for an unknown name
+            twin = np.where(self.identity[flat], rng.choice(self.terms, len(flat)), flat)
+            other = column(self.features(twin, row)[1])
+            differ = columns != other
+            gaps.append((rows[differ], columns[differ], other[differ]))
+        live = columns != dead
+        rows, columns = rows[live], columns[live]
+        floor = np.where(known < size, FLOORS[0], FLOORS[1])
+        ridge = np.where(known < size, RIDGES[0], RIDGES[1])
+        w, total = np.zeros(dead + 1), weights.sum()
+        m1, m2 = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, steps + 1):
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[columns], n) + BIAS, -30, 30)))
+            g = weights * (p - labels) / total
+            grad = np.bincount(columns, g[rows], dead + 1)
+            grad[:dead] += ridge * w[:dead] / total
+            for r, old, new in gaps:
+                gap = FAIRNESS * weights * (np.bincount(r, w[old], n) - np.bincount(r, w[new], n)) / total / TWINS
+                grad += np.bincount(old, gap[r], dead + 1) - np.bincount(new, gap[r], dead + 1)
+            grad[dead] = 0.0
+            m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+            w -= 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8) * min(1.0, 2 * (1 - step / (steps + 1)))
+            w[:dead] = np.maximum(w[:dead], floor)
+        self.model.learn(known, w[:dead])
+
+
+def _document_counts(keys: np.ndarray, valid: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per place, how many abusive and how many neutral documents hold the key that is there."""
+    at, inverse = np.unique(keys, return_inverse=True)
+    of_doc = np.unique(inverse[valid] * len(labels) + doc[valid])
+    gram, yes = of_doc // max(1, len(labels)), labels[of_doc % max(1, len(labels))] == 1
+    return np.bincount(gram[yes], minlength=len(at))[inverse], np.bincount(gram[~yes], minlength=len(at))[inverse]
+
+
+def _evidence(model: Model, ids: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per word, how much more often than in neutral documents what ends there is in *other* abusive documents: (score of the window, width).
+
+    Counting only other documents keeps a wrong review from proving itself.
+    """
+    doc = np.repeat(np.arange(len(labels)), np.diff(offsets))
+    pair, triple = model.grams(ids)
+    same = lambda k: np.concatenate([np.zeros(k, dtype=bool), doc[k:] == doc[:-k]]) if len(doc) > k else np.zeros(len(doc), dtype=bool)
+    n1 = max(1, int((labels == 1).sum()))
+    n0 = max(1, len(labels) - n1)
+    own = labels[doc] == 1
+    strongest = np.zeros(len(ids))
+    for keys, valid in ((ids, ids > 0), (pair, same(1)), (triple, same(2))):
+        yes, no = _document_counts(keys, valid, doc, labels)
+        others = yes - own
+        rate = np.log((np.maximum(others, 0) + 0.05) / n1) - np.log((no - ~own * 0.9 + 1.0) / n0) - 1.0
+        # of the grams that end at a word the strongest speaks for it, so that long ones don't count thrice
+        strongest = np.maximum(strongest, np.where(valid & (others >= 1), rate, 0.0))
+    total = np.concatenate([[0.0], np.cumsum(strongest)])
+    end, first = np.arange(len(ids)), np.repeat(offsets[:-1], np.diff(offsets))
+    start = np.maximum(end - WIDTHS[0] + 1, first)
+    return total[end + 1] - total[start], end - start + 1
+
+
+def _rank(groups: np.ndarray) -> np.ndarray:
+    """The place of every element among those of its group, in order."""
+    order = np.argsort(groups, kind="stable")
+    ordered = groups[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(groups) else np.zeros(0, dtype=np.int64)
+    out = np.empty(len(groups), dtype=np.int64)
+    out[order] = np.arange(len(groups)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(groups)]])))
+    return out
+
+
+class Reviews:
+    """Reviewed texts as word ids, and which of their windows a model learns.
+
+    Which words of a document the reviewer meant isn't said, and some reviews are wrong. So every document is judged by a
+    model that hasn't seen it (one of ``FOLDS``, at first by ``_evidence`` of other documents): the worst window of an abusive one is
+    learned if that model finds anything in it, and a neutral one that it clearly finds abusive is left out.
+    """
+
+    def __init__(self, trainer: Trainer, seeds: list[tuple[str, int]], texts: list[str], labels: np.ndarray) -> None:
+        self.trainer, self.model, self.labels = trainer, trainer.model, labels
+        seed_ids = [tuple(self.model.read([s])[0].tolist()) for s, _ in seeds]
+        # what is neutral in a sentence is neutral in its parts
+        parts = [w[i : i + 5] for w, (_, y) in zip(seed_ids, seeds) if y == 0 and len(w) > 5 for i in range(len(w) - 4)]
+        rows = [(w, y, 4.0) for w, (_, y) in zip(seed_ids, seeds) if w] + [(w, 0, 2.0) for w in parts]
+        self.seed_flat = np.array([i for w, _, _ in rows for i in w], dtype=np.int64)
+        self.seed_sizes, self.seed_labels, self.seed_weights = (np.array(x) for x in zip(*((len(w), y, k) for w, y, k in rows)))
+        self.ids, self.offsets = self.model.read(texts)
+        self.fold = np.array([zlib.crc32(t.encode("utf-8", "replace")) % FOLDS for t in texts], dtype=np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.offsets))
+        self.full = np.flatnonzero(np.diff(self.offsets))
+        self.believed = labels == 0
+        place = np.arange(len(self.ids)) - self.offsets[:-1][self.doc]
+        plain = np.flatnonzero((labels[self.doc] == 0) & (place % 5 == 4))
+        if len(plain) > NEUTRAL_WINDOWS:
+            plain = np.sort(np.random.default_rng(11).choice(plain, NEUTRAL_WINDOWS, replace=False))
+        width = np.minimum(np.array(WIDTHS)[np.arange(len(plain)) % len(WIDTHS)], place[plain] + 1)
+        #: Ends and widths of neutral and of abusive windows.
+        self.neutral, self.found = np.stack([plain, width]), np.zeros((2, 0), dtype=np.int64)
+
+    def worst(self, score: np.ndarray) -> np.ndarray:
+        """The highest score of every document."""
+        most = np.full(len(self.labels), BIAS)
+        if len(self.full):
+            most[self.full] = np.maximum.reduceat(score, self.offsets[:-1][self.full])
+        return most
+
+    def pick(self, score: np.ndarray, width: np.ndarray, bar: float) -> None:
+        """Take the worst window of every document reviewed as abusive that has one above ``bar``."""
+        ends = [int(self.offsets[d] + np.argmax(score[self.offsets[d] : self.offsets[d + 1]])) for d in self.full[self.labels[self.full] == 1]]
+        ends = np.array([e for e in ends if score[e] > bar], dtype=np.int64)
+        self.found = np.stack([ends, width[ends]])
+
+    def fit(self, without: int | None = None) -> None:
+        """Fit the model to the seeds and the windows of all folds but one."""
+        out = []
+        for windows, right in ((self.neutral, self.believed), (self.found, self.labels == 1)):
+            of = self.doc[windows[0]]
+            out.append(windows[:, right[of] & (self.fold[of] != without)])
+        ends, sizes = np.concatenate(out, axis=1)
+        bounds = np.cumsum(sizes)
+        at = np.repeat(ends - bounds + 1, sizes) + np.arange(bounds[-1] if len(bounds) else 0)
+        many = [o.shape[1] for o in out]
+        self.trainer.fit(
+            np.concatenate([self.seed_flat, self.ids[at]]),
+            np.concatenate([self.seed_sizes, sizes]),
+            np.concatenate([self.seed_labels, np.zeros(many[0], dtype=int), np.ones(many[1], dtype=int)]),
+            np.concatenate([self.seed_weights, np.ones(many[0]), np.full(many[1], FOUND_WEIGHT)]),
+        )
+
+    def first_guess(self) -> None:
+        score, width = _evidence(self.model, self.ids, self.offsets, self.labels)
+        most = self.worst(score)[self.full]
+        neutral = most[self.labels[self.full] == 0]
+        self.pick(score, width, max(1.0, float(np.quantile(neutral, EVIDENCE))) if len(neutral) else 1.0)
+
+    def cross(self) -> np.ndarray:
+        """Judge every document by the model of the other folds, pick windows anew; the worst score of every document."""
+        score, width = np.zeros(len(self.ids)), np.ones(len(self.ids), dtype=np.int64)
+        hard = [self.neutral]
+        for k in range(FOLDS):
+            self.fit(k)
+            s, w = self.model.window_scores(self.ids, self.offsets)
+            mine = self.fold[self.doc] == k
+            score[mine], width[mine] = s[mine], w[mine]
+            # what a neutral document still has that reads as nearly abusive to this model
+            near = np.flatnonzero((s > NEAR) & self.believed[self.doc])
+            near = near[np.argsort(-s[near], kind="stable")]
+            near = near[_rank(self.doc[near]) < HARD_OF_ONE]
+            hard.append(np.stack([near, w[near]]))
+        most = self.worst(score)
+        self.neutral = np.unique(np.concatenate(hard, axis=1), axis=1)
+        self.believed = (self.labels == 0) & (most <= WRONG)
+        self.pick(score, width, LEARN)
+        return most
+
+    def telling(self) -> set[int]:
+        """Words of several picked windows that no believed neutral document has."""
+        ends, sizes = self.found
+        held = Counter(w for e, k in zip(ends.tolist(), sizes.tolist()) for w in set(self.ids[e - k + 1 : e + 1].tolist()))
+        neutral = set(self.ids[self.believed[self.doc]].tolist())
+        return {w for w, k in held.items() if w and k >= TELLING and w not in neutral}
+
+
+def _threshold(most: np.ndarray, labels: np.ndarray) -> float:
+    """Where documents judged by models that hadn't seen them agree best with the reviews (F1); 0 without enough reviews."""
+    if (labels == 1).sum() < 2 * TELLING:
+        return 0.0
+    best = []
+    for bar in np.arange(-1.0, 2.01, 0.25):
+        hit = most > bar
+        best.append((2 * (hit & (labels == 1)).sum() / max(1, hit.sum() + (labels == 1).sum()), -abs(bar - 0.5), bar))
+    return float(max(best)[2])
+
+
+def train(labelled: list[tuple[str, int]], rounds: int = ROUNDS) -> Model:
     """A model from the seeds and reviewed texts (text, 1 if abusive)."""
-    rng = np.random.default_rng(11)
-    reader = _seed_reader()
     named = lambda s: [s.replace("{n}", x) for x in (["Zzyx Qorv", "women"] if "{n}" in s else [s])]
     seeds = [(x, 1) for s in _abusive_seeds() for x in named(s)] + [(x, 0) for s in _neutral_seeds() for x in named(s)]
-    words_of = lambda text: [w for r in Reader.raw(text) for w in reader.words(r)]
-    support, capital = Counter(), Counter()
-    for text, _ in labelled:
-        raws = set(Reader.raw(text))
-        support.update({w for r in raws for w in reader.words(r)})
-        capital.update({w for r in raws if r[:1].isupper() for w in reader.words(r)})
-    vocabulary = dict.fromkeys(w for s, _ in seeds for w in words_of(s) if w not in ("zzyx", "qorv"))
-    own = len(vocabulary)
-    vocabulary |= dict.fromkeys([w for w, k in support.most_common(WORDS) if k >= WORD_DOCS])
-    model = Model(reader, {w: i + 1 for i, w in enumerate(vocabulary)})
-    identity = np.zeros(model.size, dtype=bool)
-    for i, w in enumerate(vocabulary, 1):
-        # of the reviewed words, those mostly written with a capital are taken for names
-        identity[i] = w in IDENTITY_TERMS or (i > own and capital[w] > 0.8 * support[w])
-    seed_ids = [tuple(model.read([s])[0].tolist()) for s, _ in seeds]
     texts, labels = [t for t, _ in labelled], np.array([y for _, y in labelled], dtype=np.int64)
-    ids, offsets = model.read(texts)
-    windows = [(d, i) for d in np.flatnonzero(labels == 0) for i in range(offsets[d], offsets[d + 1], 3)]
-    if len(windows) > NEUTRAL_WINDOWS:
-        windows = [windows[i] for i in rng.choice(len(windows), NEUTRAL_WINDOWS, replace=False)]
-    cut = lambda d, i, width: tuple(ids[i : min(i + width, offsets[d + 1])].tolist())
-    neutral = list(dict.fromkeys(cut(d, i, WINDOW if k % 2 else SHORT) for k, (d, i) in enumerate(windows)))
-    # what is neutral in a sentence is neutral in its parts
-    parts = [w[i : i + SHORT] for w, (_, y) in zip(seed_ids, seeds) if y == 0 and len(w) > SHORT for i in range(len(w) - SHORT + 1)]
-
-    def tightest(first: int, end: int) -> tuple[int, ...]:
-        """The higher scoring of the two windows that end at a word."""
-        made = [ids[max(first, end - width + 1) : end + 1] for width in (WINDOW, SHORT)]
-        sums = [model.single[w].sum() + model.pairs(w[:-1], w[1:]).sum() for w in made]
-        return tuple(made[int(np.argmax(sums))].tolist())
-
-    wrong: set[tuple[int, ...]] = set()
-    found: list[tuple[int, ...]] = []
-    for turn in range(rounds + 1):
-        kept = [w for w in neutral if w not in wrong]
-        rows = [(w, y) for w, (_, y) in zip(seed_ids, seeds)] + [(w, 0) for w in parts] + [(w, 0) for w in kept] + [(w, 1) for w in found]
-        heavy = np.array([4.0] * len(seeds) + [2.0] * len(parts) + [1.0] * len(kept) + [2.0] * len(found))
-        good = [i for i, (w, _) in enumerate(rows) if w]
-        _fit(model, [rows[i][0] for i in good], np.array([rows[i][1] for i in good], dtype=float), heavy[good], identity)
-        if turn == rounds or not len(ids):
+    raw_words = [dict.fromkeys(Reader.raw(t)) for t in texts]
+    reader, learned = _seed_reader(), set()
+    for last in (False, True):
+        read = functools.cache(reader.words)
+        support, capital = Counter(), Counter()
+        for raws in raw_words:
+            support.update({w for r in raws for w in read(r)})
+            capital.update({w for r in raws if r[:1].isupper() for w in read(r)})
+        vocabulary = list(dict.fromkeys(w for s, _ in seeds for r in Reader.raw(s) for w in read(r) if w not in ("zzyx", "qorv")))
+        own = len(vocabulary)
+        vocabulary = list(dict.fromkeys([*vocabulary, *(w for w, k in support.most_common(WORDS) if k >= WORD_DOCS)]))
+        # of the reviewed words, those mostly written with a capital are taken for names
+        names = np.array([False] + [i >= own and w not in learned and capital[w] > 0.8 * support[w] for i, w in enumerate(vocabulary)])
+        identity = names | np.array([False] + [w in IDENTITY_TERMS for w in vocabulary])
+        model = Model(reader, {w: i + 1 for i, w in enumerate(vocabulary)}, names)
+        reviews = Reviews(Trainer(model, identity), seeds, texts, labels)
+        if not len(reviews.ids):
             break
-        every = model.window_scores(ids, offsets)
-        found, hard = [], []
-        for d in range(len(texts)):
-            lo, hi = offsets[d], offsets[d + 1]
-            if hi == lo:
-                continue
-            if labels[d] == 1:
-                best = int(lo + np.argmax(every[lo:hi]))
-                if every[best] > LEARN:
-                    found.append(tightest(int(lo), best))
-            else:
-                # what a neutral document has that reads as nearly abusive; far beyond that it is the review that is wrong
-                near = np.flatnonzero((every[lo:hi] > NEAR) & (every[lo:hi] <= WRONG)) + lo
-                hard += [tightest(int(lo), int(e)) for e in near[:HARD_OF_ONE]]
-        if kept:
-            sizes = np.array([len(w) for w in kept])
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            ends = np.flatnonzero(sizes)
-            scored = model.window_scores(np.concatenate([np.array(w, dtype=np.int64) for w in kept]), bounds)
-            wrong = {kept[i] for i in ends if scored[bounds[i + 1] - 1] > WRONG}
-        neutral = list(dict.fromkeys([*neutral, *hard]))
+        reviews.first_guess()
+        for _ in range(rounds if last else 1):
+            most = reviews.cross()
+        if not last:
+            # disguises may hide what these passages have in common, too
+            learned = {vocabulary[w - 1] for w in reviews.telling() if len(vocabulary[w - 1]) >= 3}
+            reader = Reader(reader.strong | learned)
+    reviews.fit()
+    model.bias = BIAS - (_threshold(most, labels) if len(reviews.ids) else 0.0)
+    model.forget()
     return model
 
 
