@@ -45,7 +45,7 @@ FOUND_WEIGHT, TELLING = 1.5, 3
 #: Score of a window of unknown words: without evidence a text is neutral, however few reviews there are.
 BIAS = -2.0
 #: Least weights and ridge of words, and of pairs and triples; weight of the counterfactual penalty and twins of a window.
-FLOORS, RIDGES, FAIRNESS, TWINS = (-0.25, -0.8), (0.05, 0.15), 1.0, 2
+FLOORS, RIDGES, FAIRNESS, TWINS = (-0.25, -0.8), (0.05, 0.15), 2.0, 2
 
 #: A worker's memory of spellings is emptied beyond this.
 KNOWN_SPELLINGS = 500_000
