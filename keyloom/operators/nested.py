@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.tagged import dumps, parse_object, strings, tagged
 
-#: Memory of known transitions of a worker is emptied beyond this many; ids are hashes, so nothing else changes.
+#: Memory of known transitions of a worker is emptied between items beyond this many; ids are hashes and shapes are spelled anew, so nothing else changes.
 KNOWN_STATES = 200_000
 
 ROWS = "source_field string, record_id bigint, child_path string, parent_path string, kind string, variant string, shape string, scalars map<string,string>"
@@ -42,12 +42,15 @@ class ShapeAutomaton:
         self.shapes: dict[str, str] = {}
         self.want_scalars = want_scalars
 
+    def forget(self) -> None:
+        """Empty the memory between two items, never within one, as shapes are spelled from those of their children."""
+        if len(self.known) >= KNOWN_STATES:
+            self.known.clear()
+            self.shapes.clear()
+
     def _state(self, transition: object, describe) -> str:
         state = self.known.get(transition)
         if state is None:
-            if len(self.known) >= KNOWN_STATES:
-                self.known.clear()
-                self.shapes.clear()
             state = blake2b(repr(transition).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
             self.known[transition] = state
             self.shapes[state] = describe()
@@ -56,6 +59,7 @@ class ShapeAutomaton:
     def read(self, item: dict) -> list[tuple[str, str, str, str, str, list]]:
         """Rows of one item: (path, parent path, kind, variant, shape, scalar pairs), parents before children."""
         rows: list = []
+        self.forget()
         try:
             for name, value in item.items():
                 self._node(value, name, name, "", rows)

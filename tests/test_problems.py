@@ -304,3 +304,12 @@ def test_code_sets():
     for n, m in ((10, 10), (5000, 10), (10, 5000), (30000, 50000), (0, 5)):
         a, b = rng.choice(orphans.RANGE, n, replace=False), rng.choice(orphans.RANGE, m, replace=False)
         assert orphans.CodeSet(a).and_not(orphans.CodeSet(b)).tolist() == sorted(set(a.tolist()) - set(b.tolist()))
+
+
+def test_shape_does_not_depend_on_the_memory_of_states(monkeypatch):
+    item = {"a": {"L": [{"M": {"b": {"L": [{"M": {"c": {"S": "x"}}}, {"M": {"d": {"N": "1"}}}]}}}]}}
+    whole = nested.ShapeAutomaton(False).read(item)
+    monkeypatch.setattr(nested, "KNOWN_STATES", 1)
+    small = nested.ShapeAutomaton(False)
+    small.read({"z": {"L": [{"M": {"q": {"S": "x"}}}]}})
+    assert small.read(item) == whole

@@ -300,3 +300,21 @@ def test_live_expiry(spark, tmp_path):
     q = live.expire_live(source).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.pk for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["a"]
+
+
+def test_vacuum_keeps_the_folder_of_a_restored_version(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "pk string, sk bigint")
+    table = TableDef("kept", "pk", "sk")
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.publish(table, rows)
+    store.snapshot("first")
+    store.publish(table, rows.limit(0))
+    store.restore("first")
+    store.delete_snapshot("first")
+    assert store.vacuum("kept") == [1, 2]
+    assert store.read("kept").count() == 1
+
+
+def test_statements_have_no_attribute_type():
+    with pytest.raises(ValidationError):
+        parse_statement("SELECT * FROM things WHERE ATTRIBUTE_TYPE(a, 'S')", [])
